@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunk_bpe import bpe_query
+from .minhash import near_duplicate_query
 from .packing import packing_query
 from .quality_model import quality_query
+from .quality_rules import quality_rules_query
 from .sharding import shard_query
 from .token_files import token_query
 
@@ -18,8 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing_query,
         "op3_sharding": shard_query,
         "op4_chunk_bpe": bpe_query,
+        "op6_minhash": near_duplicate_query,
         "op7_quality_model": quality_query,
         "op8_token_files": token_query,
+        "op10_quality_rules": quality_rules_query,
     }
 
 
