@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import ann_query
 from .chunk_bpe import bpe_query
 from .minhash import near_duplicate_query
 from .packing import packing_query
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash": near_duplicate_query,
         "op7_quality_model": quality_query,
         "op8_token_files": token_query,
+        "op9_ann": ann_query,
         "op10_quality_rules": quality_rules_query,
     }
 
