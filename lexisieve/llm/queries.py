@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import ann_query
 from .chunk_bpe import bpe_query
+from .line_dedup import line_dedup_query
 from .minhash import near_duplicate_query
 from .packing import packing_query
 from .quality_model import quality_query
 from .quality_rules import quality_rules_query
 from .sharding import shard_query
+from .substring_dedup import passage_query
 from .token_files import token_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup_query,
         "op2_packing": packing_query,
         "op3_sharding": shard_query,
         "op4_chunk_bpe": bpe_query,
+        "op5_substring_dedup": passage_query,
         "op6_minhash": near_duplicate_query,
         "op7_quality_model": quality_query,
         "op8_token_files": token_query,
