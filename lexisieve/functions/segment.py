@@ -78,30 +78,43 @@ def sentences(masked: Column) -> Column:
     Offsets are true ones, of the first character; inside a joined line they follow its joins.
     """
     def of_line(x: Column) -> Column:
-        in_list = F.rlike(x["line"], F.lit(LIST_ITEM))
-        body = F.regexp_replace(x["line"], LIST_ITEM, "")
-        lead = F.length(x["line"]) - F.length(body)
         skip = (F.trim(x["line"]) == "") | F.rlike(x["line"], F.lit(HEADING)) | F.rlike(x["line"], F.lit(TABLE_ROW))
 
-        def cut(body: Column) -> Column:
-            gaps = F.regexp_extract_all(body, F.lit(SENTENCE_END), F.lit(0))
-            parts = F.split(body, F.lit(SENTENCE_END), -1)
-            whole = F.zip_with(parts, gaps, lambda p, g: F.concat(p, F.coalesce(g, F.lit(""))))
-            return let(
-                starts_of(whole),
-                lambda at: F.filter(
-                    F.transform(
-                        parts,
-                        lambda p, i: F.struct(
-                            F.regexp_replace(p, r"^\s+|\s+$", "").alias("text"), in_list.alias("in_list"),
-                            (x["start"] + lead + F.get(at, i) + F.length(p) - F.length(F.regexp_replace(p, r"^\s+", ""))).cast("int").alias("offset"),
+        def cut(y: Column) -> Column:
+            # y holds what is the same for all sentences of the line, worked out once
+            def placed(z: Column) -> Column:
+                whole = F.zip_with(z["parts"], z["gaps"], lambda p, g: F.concat(p, F.coalesce(g, F.lit(""))))
+                return let(
+                    starts_of(whole),
+                    lambda at: F.filter(
+                        F.transform(
+                            z["parts"],
+                            lambda p, i: F.struct(
+                                F.trim(p).alias("text"), y["in_list"].alias("in_list"),
+                                (y["start"] + F.get(at, i) + F.length(p) - F.length(F.ltrim(p))).cast("int").alias("offset"),
+                            ),
                         ),
+                        lambda s: s["text"] != "",
                     ),
-                    lambda s: s["text"] != "",
+                )
+
+            return let(
+                F.struct(
+                    F.split(y["body"], F.lit(SENTENCE_END), -1).alias("parts"),
+                    F.regexp_extract_all(y["body"], F.lit(SENTENCE_END), F.lit(0)).alias("gaps"),
                 ),
+                placed,
             )
 
-        return F.when(skip, F.array().cast("array<struct<text:string,in_list:boolean,offset:int>>")).otherwise(let(body, cut))
+        body = F.regexp_replace(F.regexp_replace(x["line"], LIST_ITEM, ""), r"[\t\x0B\f\r]", " ")
+        fixed = let(
+            body,
+            lambda b: F.struct(
+                b.alias("body"), (F.length(b) < F.length(x["line"])).alias("in_list"), (x["start"] + F.length(x["line"]) - F.length(b)).alias("start")
+            ),
+        )
+        none = F.array().cast("array<struct<text:string,in_list:boolean,offset:int>>")
+        return F.when(skip, none).otherwise(let(fixed, cut))
 
     return F.flatten(F.transform(logical_lines(masked), of_line))
 
