@@ -24,7 +24,9 @@ def analyse(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     band = F.when(F.col("x") <= third, 1).when(F.col("x") <= 2 * third, 2).otherwise(3)
     banded = placed.withColumn("band", band)
-    means = [F.round(F.coalesce(F.avg(F.when(F.col("band") == b, F.col("y"))), F.avg("y")), 2).alias(name) for b, name in ((1, "first_third"), (2, "middle_third"), (3, "last_third"))]
+    # whole hundredths, so that sums are exact whatever their order
+    cents = F.round(F.col("y") * 100)
+    means = [(F.round(F.coalesce(F.avg(F.when(F.col("band") == b, cents)), F.avg(cents))) / 100).alias(name) for b, name in ((1, "first_third"), (2, "middle_third"), (3, "last_third"))]
     fits = F.max("n") >= 3
     fitted = banded.groupBy(id_col).agg(
         F.sum("words").alias("words"), F.sum("findings").alias("findings"),
