@@ -138,4 +138,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, run: int = RUN, id_col: st
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(spark, docs).select("doc_id", "removed_lines", "text")
+    return dedup_lines(spark, docs).select("doc_id", F.array_join("removed_lines", ",").alias("removed_lines"), "text")
+
+
+LINE_DEDUP_SQL = r"""
+WITH lines AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS k, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+worded AS (SELECT doc_id, k, regexp_replace(x, '^[ \t\v\f\r]+|[ \t\v\f\r]+$', '', 'g') AS t FROM lines WHERE regexp_matches(x, '[^ \t\v\f\r]')),
+windows AS (SELECT doc_id, k AS lo, lead(k) OVER v AS hi, t || chr(10) || lead(t) OVER v AS gram FROM worded WINDOW v AS (PARTITION BY doc_id ORDER BY k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id, lo) AS r FROM windows WHERE gram IS NOT NULL),
+dead AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS k FROM ranked WHERE r > 1)
+SELECT doc_id, coalesce(string_agg(CASE WHEN d.k IS NOT NULL THEN l.k::VARCHAR END, ',' ORDER BY l.k), '') AS removed_lines,
+coalesce(string_agg(CASE WHEN d.k IS NULL THEN l.x END, chr(10) ORDER BY l.k), '') AS text
+FROM lines l LEFT JOIN dead d USING (doc_id, k) GROUP BY doc_id
+"""

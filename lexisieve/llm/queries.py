@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import ann_query
 from .chunk_bpe import bpe_query
-from .line_dedup import line_dedup_query
-from .minhash import near_duplicate_query
+from .line_dedup import LINE_DEDUP_SQL, line_dedup_query
+from .minhash import NEAR_DUPLICATE_SQL, near_duplicate_query
 from .packing import packing_query
 from .quality_model import quality_query
 from .quality_rules import quality_rules_query
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_minhash": NEAR_DUPLICATE_SQL}
