@@ -62,7 +62,29 @@ def features(texts: Texts) -> np.ndarray:
             out[:, 131 + PAIR_BINS], out[:, 132 + PAIR_BINS] = share, np.sqrt(share)
     scale = np.log1p(lengths) / 10.0
     out[:, -3], out[:, -2], out[:, -1] = scale, scale * scale, lengths == 0
-    return out
+    # half precision is how features are written; scores from texts and from tables agree
+    return out.astype(np.float16).astype(np.float64)
+
+
+def feature_table(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x): the features of every document, written once for fitting and scoring.
+
+    A row is under a kilobyte whatever the length of its text, so that labels are joined and
+    scores made without moving or reading the texts again.
+    """
+    named = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r.tobytes() for t in slices(batch.column(1)) for r in features(t).astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
+
+    return ws.save(named.mapInArrow(work, f"doc_id {ids_type(named)}, x binary"), "features")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = b"".join(column.to_pylist())
+    return np.frombuffer(flat, dtype=np.float16).reshape(-1, WIDTH).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -131,13 +153,19 @@ def _logistic_curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Learns from documents(id, text) and labels(doc_id, quality 0/1)."""
-    prepare(spark)
+    ws = Workspace(spark, "quality")
+    model = fit_features(feature_table(ws, docs, id_col, text_col), labels)
+    ws.drop("features")
+    return model
+
+
+def fit_features(table: DataFrame, labels: DataFrame) -> QualityModel:
+    """Learns from a feature table (doc_id, x) and labels(doc_id, quality 0/1)."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.sum("quality").alias("ones"), F.count("*").alias("labels_"))
     )
-    # labels are small beside the texts; ids alone are joined, and Spark picks the join by size
-    rows = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text").join(known, "doc_id", "left")
+    rows = table.join(known, "doc_id", "left")
     tri = np.triu_indices(WIDTH)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +173,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         weight = {"all": 0.0, "pos": 0.0}
         for batch in batches:
             ones = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-            for texts in slices(batch.column(0)):
-                x = features(texts)
-                mine = ones[texts.first : texts.first + len(texts)]
-                hot = mine > 0
-                for kind, part, w in (("all", x, np.ones(len(x))), ("pos", x[hot], mine[hot])):
-                    if len(part):
-                        a, m = sums[kind]
-                        a += (part * w[:, None]).T @ part
-                        m += w @ part
-                        weight[kind] += float(w.sum())
+            x, hot = _matrix(batch.column(0)), ones > 0
+            for kind, part, w in (("all", x, np.ones(len(x))), ("pos", x[hot], ones[hot])):
+                if len(part):
+                    a, m = sums[kind]
+                    a += (part * w[:, None]).T @ part
+                    m += w @ part
+                    weight[kind] += float(w.sum())
         flat = [np.concatenate([sums[k][0][tri], sums[k][1]]).tobytes() for k in ("all", "pos")]
         yield pa.RecordBatch.from_arrays(
             [pa.array(["all", "pos"]), pa.array([weight["all"], weight["pos"]]), pa.array(flat, pa.binary())], names=["kind", "weight", "sums"]
@@ -174,7 +199,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
             )
 
     schema = "kind string, weight double, sums binary"
-    per_task = rows.select("text", "ones").mapInArrow(moments, schema)
+    per_task = rows.select("x", "ones").mapInArrow(moments, schema)
     # two small matrices a task, added in a tree before the driver gets them
     partial = per_task.repartition(8, F.spark_partition_id() % 8).mapInArrow(merge, schema)
     total: dict[str, tuple[float, np.ndarray]] = {}
@@ -196,11 +221,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
     weights = minimise_risk(prior, *mean("all"), *mean("pos"))
     raw_model = QualityModel(weights, 1.0, 0.0, prior)
-    few = (
-        rows.where(F.col("ones").isNotNull()).select("doc_id", "text", "ones", "labels_")
-    )
-    raws = _apply(few, raw_model, raw=True, keep=["doc_id", "ones", "labels_"])
-    got = raws.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
+    # at most CALIBRATION_ROWS ids: small enough to be broadcast, so the features are not moved again
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    few = table.join(F.broadcast(some), "doc_id")
+    raws = _rate(few, raw_model, raw=True, keep=["doc_id", "ones", "labels_"])
+    got = raws.toPandas().sort_values("doc_id")
     raw = np.concatenate([got["value"], got["value"]])
     label = np.concatenate([np.ones(len(got)), np.zeros(len(got))])
     count = np.concatenate([got["ones"], got["labels_"] - got["ones"]]).astype(int)
@@ -208,17 +233,20 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     return QualityModel(weights, slope, shift, prior)
 
 
-def _apply(df: DataFrame, model: QualityModel, raw: bool, keep: list[str], text_col: str = "text") -> DataFrame:
-    fields = [df.schema[c] for c in keep]
+def _rate(df: DataFrame, model: QualityModel, raw: bool, keep: list[str], of: str = "x") -> DataFrame:
+    """The kept columns and value: the model over a column of features, or of texts."""
+    fields, from_text = [df.schema[c] for c in keep], df.schema[of].dataType.simpleString() == "string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = model.raw if raw else model.score
         for batch in batches:
-            parts = [(model.raw if raw else model.score)(features(t)) for t in slices(batch.column(len(keep)))]
+            source = batch.column(len(keep))
+            parts = [rate(features(t)) for t in slices(source)] if from_text else [rate(_matrix(source))]
             got = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got)], names=[*keep, "value"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", value double"
-    return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(work, schema)
+    return df.select(*keep, F.col(of).alias("_of")).mapInArrow(work, schema)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -227,13 +255,15 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     plain = docs.toDF(*names)
-    return _apply(plain, model, raw=False, keep=names, text_col=names[at]).toDF(*docs.columns, out)
+    plain = plain.withColumn("_text", F.col(names[at]).cast("string"))
+    return _rate(plain, model, raw=False, keep=names, of="_text").toDF(*docs.columns, out)
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = _apply(docs, model, raw=False, keep=["doc_id"]).withColumnRenamed("value", "score")
+    ws = Workspace(spark, "quality")
+    table = feature_table(ws, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    model = fit_features(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = _rate(table, model, raw=False, keep=["doc_id"]).withColumnRenamed("value", "score")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
