@@ -52,6 +52,10 @@ def _tidy() -> None:
             return
 
 
+#: Spark then drops the shuffle files of a query when it ends, instead of at some later collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables written below spark.checkpoint.dir, the folder that all executors share.
 
@@ -71,8 +75,14 @@ class Workspace:
         prepare(spark)
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{self.root}/{label}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        """Writes df and reads it back. Its shuffles are of no more use then and are removed."""
+        path, conf = f"{self.root}/{label}", self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
