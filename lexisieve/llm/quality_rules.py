@@ -12,8 +12,14 @@ language with one bin for all other words. A reference is the mean histogram of
 documents that pass the base, over all documents; a language with fewer than MIN_REFERENCE of
 them, or none given, uses the mean over all languages. A distance counts only from MIN_CHARS
 characters or MIN_COMMON_WORDS words on: below that a histogram says too little, and the limit for
-classes is wider by 1/sqrt(characters), the scatter of a short text. A document is kept if it
-passes the base and no counted distance exceeds its limit.
+classes is wider by 1/sqrt(characters), the scatter of a short text. The limit for words is
+derived from each reference: half the distance at which a text without any common word stands
+from it, or, where that is more, WORD_SCATTER times the distance that chance alone gives a text
+of so many words, but always below the distance without common words. So gibberish goes at any
+counted length; a text in another language than its lang goes too, one of a related language
+(French as Spanish) from about 160 words on. A reference with a common share under LEAST_COMMON
+cannot tell texts by common words, and its distances do not count. A document is kept if it passes
+the base and no counted distance exceeds its limit.
 
 Null texts count as empty: no words, base failed. Repeated ids are judged row by row. An empty
 table gives no rows; other columns are passed by.
@@ -21,6 +27,7 @@ table gives no rows; other columns are passed by.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +37,9 @@ from .common import Workspace, let
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 MIN_CHARS, MIN_COMMON_WORDS, MIN_REFERENCE = 200, 50, 20
-CLASS_LIMIT, WORD_LIMIT = 0.18, 0.60
+CLASS_LIMIT = 0.18
+#: The limit for words: shares of the distance of a text without common words, times of chance.
+WORD_SHARE, WORD_MOST, WORD_SCATTER, LEAST_COMMON = 0.5, 0.95, 1.5, 0.05
 
 # Character classes, by the characters they leave out.
 CLASSES = {
@@ -133,6 +142,18 @@ def _js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2.0, F.lit(0.0)))
 
 
+def _word_limit(tokens: Column, listed: Column, others: Column) -> Column:
+    """The largest distance allowed to a text of so many words, listed common words and a reference's share of others.
+
+    The histogram of a text without common words meets the reference in the bin of others only.
+    Chance gives n words over b + 1 bins a divergence of b / (8 n ln 2) bits on average.
+    """
+    none = F.log2(2.0 / (1.0 + others)) + others * F.log2(2.0 * others / (1.0 + others)) + (1.0 - others)
+    farthest = F.sqrt(F.greatest(F.when(others > 0, none).otherwise(F.lit(2.0)) / 2.0, F.lit(0.0)))
+    chance = F.sqrt(listed / (8.0 * math.log(2.0) * F.greatest(tokens, F.lit(1))))
+    return F.least(F.greatest(WORD_SHARE * farthest, WORD_SCATTER * chance), WORD_MOST * farthest)
+
+
 def judge_quality(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: base counts, both distances, base_failed and kept."""
     ws = Workspace(spark, "rules")
@@ -170,10 +191,13 @@ def judge_quality(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     word_ref = F.when(own, F.col("own_word_share")).otherwise(F.col("all_word_share"))
     class_distance = F.when(F.col("word_chars") >= MIN_CHARS, _js_distance(F.col("class_share"), class_ref))
     # a common-word list belongs to its language: without one, the words say nothing
-    word_distance = F.when((F.col("_tokens") >= MIN_COMMON_WORDS) & (F.col("_list") != "") & own, _js_distance(F.col("word_share"), word_ref))
+    listed = F.size("common_counts") - 1
+    others = F.get(word_ref, listed)
+    telling = (F.col("_list") != "") & own & (others <= 1.0 - LEAST_COMMON)
+    word_distance = F.when((F.col("_tokens") >= MIN_COMMON_WORDS) & telling, _js_distance(F.col("word_share"), word_ref))
     out = joined.withColumn("class_distance", class_distance).withColumn("word_distance", word_distance)
     allowed = CLASS_LIMIT + 1.0 / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)).cast("double"))
-    passes = (F.coalesce("class_distance", F.lit(0.0)) <= allowed) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
+    passes = (F.coalesce("class_distance", F.lit(0.0)) <= allowed) & (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce(_word_limit(F.col("_tokens"), listed, others), F.lit(1.0)))
     longs = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select("doc_id", *longs, "base_failed", (~F.col("base_failed") & passes).alias("kept"), "class_distance", "word_distance")
 

@@ -322,6 +322,25 @@ def test_quality_rules_tell_junk(spark):
     assert not any(got[i]["kept"] for i in range(60, 66))
 
 
+def test_quality_rules_tell_gibberish_and_wrong_languages(spark):
+    rng = random.Random(8)
+
+    def written(lang, n):
+        common = quality_rules.COMMON_WORDS[lang]
+        return " ".join(rng.choice(common) if rng.random() < 0.27 else "".join(rng.choices("aeilnorst", k=7)) for _ in range(n))
+
+    langs = list(quality_rules.COMMON_WORDS)
+    good = [(written(a, n), a) for a in langs for n in [60, 80, 120, 300, 1000] * 12]
+    salad = [(" ".join("".join(rng.choices("aeilnorst", k=rng.randint(3, 9))) for _ in range(n)), a) for a in langs for n in (60, 100, 300)]
+    wrong = [(written(b, 400), a) for a in langs for b in langs if a != b]
+    texts = good + salad + wrong
+    docs = spark.createDataFrame([(i, t, a, "s", len(t)) for i, (t, a) in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in quality_rules.judge_quality(spark, docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] for i in range(len(good)))
+    assert [texts[i][1] for i in range(len(good), len(texts)) if got[i]["kept"]] == []
+
+
 # ------------------------------------------------------------------ nearest neighbours
 def test_nearest(spark):
     rng = np.random.default_rng(3)
