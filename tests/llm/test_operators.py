@@ -213,6 +213,22 @@ def test_passages_are_cut_out(spark, corpus):
     assert by[n + 4] == "" == by[n + 5] or len(corpus[n + 4].split()) < 50
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(12)
+    texts, edited = [], []
+    for k in range(60):
+        n, share = [(60, 0.1), (60, 0.15), (100, 0.2)][k % 3]
+        words = prose_of(rng, n, 5000).split()
+        copy = list(words)
+        for j in rng.sample(range(n), round(n * share)):
+            copy[j] = f"e{rng.randrange(99999)}"
+        texts.append(prose_of(rng, 100, 5000) + " " + " ".join(words) + " " + prose_of(rng, 100, 5000))
+        edited.append((prose_of(rng, 80, 5000) + " " + " ".join(copy) + " " + prose_of(rng, 80, 5000), n))
+    got = substring_dedup.find_passages(spark, docs_of(spark, texts + [t for t, _ in edited])).collect()
+    found = {r["doc_id"] for r in got if r["source_id"] == r["doc_id"] - 60 and r["word_end"] > 80 and r["word_start"] < 80 + edited[r["doc_id"] - 60][1]}
+    assert len(found) >= 57
+
+
 def test_a_chain_prefers_order_and_small_gaps():
     rows = np.array([[0, 20, 100], [22, 40, 122], [41, 60, 10], [60, 90, 160]])
     best = substring_dedup.chains(rows, least=10)[0]
