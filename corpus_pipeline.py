@@ -50,7 +50,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length buckets and token-budget batches of what is left."""
-    return pack(spark, docs)
+    import public_tokenizers
+
+    return pack(spark, docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

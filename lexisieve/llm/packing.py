@@ -4,18 +4,23 @@ The lengths of all documents are counted in one global histogram. A dynamic prog
 distinct lengths picks the bucket boundaries that minimise padding (every document is padded
 to the largest length of its bucket). In each bucket, in id order, a batch takes as many
 documents as fit the token budget at the padded length (one at least: a document longer than
-the budget is a batch of its own). A length is the number of words between white space plus
-one end mark, so null and empty texts have length 1. Repeated ids are packed row by row; an
-empty table gives no rows; other columns are passed by.
+the budget is a batch of its own). A length is the number of token ids of the whole text plus
+one end id where a tokenizer file is given (query and pipeline give one); without a file it is the
+number of words between white space plus one end mark. So null and empty texts have length 1.
+Repeated ids are packed row by row; an empty table gives no rows; other columns are passed by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, running_total
+from .bpe import encoder
+from .common import Workspace, ids_type, prepare, running_total, slices
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 65_536
@@ -27,6 +32,20 @@ def word_length(text: Column) -> Column:
     return (F.length(solid) - F.length(F.replace(solid, F.lit(" "), F.lit(""))) + F.when(solid == "", 0).otherwise(1) + 1).cast("long")
 
 
+def token_lengths(spark: SparkSession, named: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, n_tokens) of rows(doc_id, text): token ids of the text, and the end id."""
+    prepare(spark)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = encoder(tokenizer_path)
+        for batch in batches:
+            counts = [np.diff(mine.encode(texts)[1]) + 1 for texts in slices(batch.column(1))]
+            lengths = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return named.mapInArrow(work, f"doc_id {ids_type(named)}, n_tokens long")
+
+
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Upper lengths of at most n_buckets buckets with the least total padding.
 
@@ -72,12 +91,17 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int)
 
 def pack(
     spark: SparkSession, docs: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
 ) -> DataFrame:
     """One row per document: id, n_tokens, bucket, bucket_len, padding, batch, slot."""
     ws = Workspace(spark, "packing")
-    sized = ws.save(docs.select(F.col(id_col).alias("doc_id"), word_length(F.col(text_col)).alias("n_tokens")), "sized")
-    # distinct lengths: bounded by the square root of twice the corpus's words, never by its rows
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if tokenizer_path is None:
+        lengths = named.select("doc_id", word_length(F.col("text")).alias("n_tokens"))
+    else:
+        lengths = token_lengths(spark, named, tokenizer_path)
+    sized = ws.save(lengths, "sized")
+    # distinct lengths: bounded by the square root of twice the corpus's tokens, never by its rows
     counted = sized.groupBy("n_tokens").count().orderBy("n_tokens").toPandas()
     ends = optimal_boundaries(counted["n_tokens"].to_numpy(), counted["count"].to_numpy(), n_buckets)
     buckets = spark.createDataFrame(
@@ -97,4 +121,6 @@ def pack(
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    import public_tokenizers
+
+    return pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))

@@ -266,6 +266,17 @@ def test_packing(spark, corpus):
         assert len(rows) == 1 or len(rows) * rows[0][2] <= 700
 
 
+def test_packing_counts_tokens(spark, corpus):
+    import corpus_pipeline
+
+    ids, _ = reference_ids(corpus)
+    docs = docs_of(spark, corpus)
+    for frame in (packing.pack(spark, docs, n_buckets=4, token_budget=700, tokenizer_path=PATH), corpus_pipeline.packing(spark, docs, "")):
+        got = frame.collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(len(corpus)))
+        assert all(r["n_tokens"] == len(ids[r["doc_id"]]) + 1 and r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0 for r in got)
+
+
 def test_shards(spark, corpus):
     got = sorted(sharding.assign_shards(spark, docs_of(spark, corpus).repartition(4), 5).collect(), key=lambda r: r["doc_id"])
     size = [len((t or "").encode()) + 1 for t in corpus]
