@@ -33,8 +33,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go from the texts."""
-    return _recounted(dedup_lines(spark, docs), docs.columns)
+    """Later repeats of lines go from the texts, single lines and one-line documents too."""
+    return _recounted(dedup_lines(spark, docs, run=1), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

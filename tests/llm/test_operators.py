@@ -173,6 +173,19 @@ def test_line_runs(spark, run):
     assert all(r["dead"] == 7 and r["_row"] == "x" for r in got)
 
 
+def test_the_stage_deletes_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = [None, "", "one line", "one line", "a\nshared line\nb", "c\n shared line\nd", "e\n\ne"]
+    texts += ["\n".join(rng.choice(["a", "b", "g", "h ", " i", "", "j"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    docs = docs_of(spark, texts)
+    out = corpus_pipeline.line_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [r["text"] for r in out.orderBy("doc_id").collect()]
+    assert got == brute_lines(texts, 1) and got[3] == "" and got[5] == "c\nd"
+
+
 def test_fingerprints_meet_every_window():
     rng = np.random.default_rng(1)
     for _ in range(50):
