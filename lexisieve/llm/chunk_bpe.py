@@ -4,9 +4,15 @@ A rolling hash over the last four segments of a text ends a chunk where its low
 zero, so the same passage yields the same chunks in every document. A Python worker encodes
 and decodes a chunk once and reuses the result in all documents it reads, over its tasks
 (least recently used chunks leave when REUSE_BYTES are held). Every join of two chunks is
-then checked: the two segments beside it are encoded together and must agree with the two
-sides; where they do not, the sides are encoded as one, and so on until they agree. The check
-of a pair of segments is remembered as well.
+then checked. With a tokenizer file that always splits before white space (see bpe.py) the two
+segments beside a join are encoded together and must agree with the two sides. With any other
+file the two chunks themselves are encoded together and must agree with their ids end to end.
+Where a join disagrees its two sides become one chunk, which the library encodes anew as a
+whole, and its joins are checked in turn, until all agree (a text of which every join is
+refused is encoded whole). Answers of checks are remembered as well.
+
+With other files this is exact where the library's merges depend on adjacent tokens only, as in
+BPE without a pre-tokeniser: ids that agree across every join of neighbours agree throughout.
 
 Null and empty texts have no ids: n_tokens 0 and the digests of the empty string. Ids repeat
 as they come; columns beside id and text are not read; an empty table gives no rows.
@@ -25,8 +31,8 @@ from .bpe import Encoder, encoder
 from .common import Texts, ids_type, mix64, prepare, slices
 
 CHUNK_SEGMENTS = 64
-REUSE_BYTES = 64 << 20
-PAIRS_KEPT = 1_000_000
+REUSE_BYTES = 48 << 20
+PAIRS_KEPT = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,10 +50,12 @@ class ChunkCodec:
         self.young: dict[bytes, tuple[int, bytes, bytes | None]] = {}
         self.old: dict[bytes, tuple[int, bytes, bytes | None]] = {}
         self.held, self.encoded, self.reused = 0, 0, 0
-        self.agreed: set[int] = set()
+        self.verdicts: dict[int, bool] = {}
+        self.joined: dict[tuple[bytes, bytes], bool] = {}
+        self.joined_bytes = 0
         alphabet = byte_alphabet()
         names = {i: t for t, i in bpe.tokenizer.get_vocab(with_added_tokens=True).items()}
-        tokens = [names.get(i, "") for i in range(len(bpe.starts))]
+        tokens = [names.get(i, "") for i in range(bpe.n_ids)]
         pieces = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in tokens]
         self.piece_at = np.concatenate(([0], np.cumsum([len(x) for x in pieces])))
         self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
@@ -78,26 +86,24 @@ class ChunkCodec:
 
     def _disagreeing(self, texts: Texts, starts: np.ndarray, hashes: np.ndarray, joins: np.ndarray) -> set[int]:
         """Joins (by their right segment) at which the two segments together have other ids."""
-        pair = mix64(hashes[joins - 1] * np.uint64(3) + hashes[joins] * np.uint64(0x9E3779B97F4A7C15))
-        pair, first = np.unique(pair, return_index=True)
-        ends = np.append(starts[1:], len(texts.data))
-        fresh = [(int(p), int(joins[k])) for p, k in zip(pair.tolist(), first.tolist()) if p not in self.agreed]
-        bad: set[int] = set()
+        pair = mix64(hashes[joins - 1] * np.uint64(3) + hashes[joins] * np.uint64(0x9E3779B97F4A7C15)).tolist()
+        fresh: dict[int, int] = {}
+        for p, j in zip(pair, joins.tolist()):
+            if p not in self.verdicts and p not in fresh:
+                fresh[p] = j
         if fresh:
-            j = np.array([x[1] for x in fresh])
-            bounds = np.stack([starts[j - 1], starts[j], ends[j]])
+            j = np.array(list(fresh.values()))
+            ends = np.append(starts[1:], len(texts.data))
+            bounds = [x.tolist() for x in (starts[j - 1], starts[j], ends[j])]
             data = texts.data.tobytes()
-            together = self.bpe.whole([data[a:c].decode() for a, c in zip(bounds[0].tolist(), bounds[2].tolist())])
-            left = self._encode_pieces([data[a:b] for a, b in zip(bounds[0].tolist(), bounds[1].tolist())])
-            right = self._encode_pieces([data[b:c] for b, c in zip(bounds[1].tolist(), bounds[2].tolist())])
-            for (p, k), ids, x, y in zip(fresh, together, left, right):
-                if len(ids) == len(x) + len(y) and (ids[: len(x)] == x).all() and (ids[len(x) :] == y).all():
-                    self.agreed.add(p)
-                else:
-                    bad.add(k)
-            if len(self.agreed) > PAIRS_KEPT:
-                self.agreed = set()
-        return bad
+            together = self.bpe.whole([data[a:c].decode() for a, c in zip(bounds[0], bounds[2])])
+            left = self._encode_pieces([data[a:b] for a, b in zip(bounds[0], bounds[1])])
+            right = self._encode_pieces([data[b:c] for b, c in zip(bounds[1], bounds[2])])
+            if len(self.verdicts) + len(fresh) > PAIRS_KEPT:
+                self.verdicts = {p: self.verdicts[p] for p in pair if p in self.verdicts}
+            for p, ids, x, y in zip(fresh, together, left, right):
+                self.verdicts[p] = np.array_equal(ids, np.concatenate([x, y]))
+        return {j for p, j in zip(pair, joins.tolist()) if not self.verdicts[p]}
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in pieces]))).astype(np.int64)
@@ -105,6 +111,26 @@ class ChunkCodec:
         ids, at = self.bpe.encode(texts)
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
+    def _agreed_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Chunks of one text, put together until the ids of any two neighbours agree at their join."""
+        out: list[bytes] = []
+        for chunk in chunks:
+            out.append(chunk)
+            while len(out) > 1:
+                a, b = out[-2:]
+                pair = (a, b)
+                if (good := self.joined.get(pair)) is None:
+                    x, y, both = self.bpe.whole([a.decode(), b.decode(), (a + b).decode()])
+                    good = np.array_equal(both, np.concatenate([x, y]))
+                    if self.joined_bytes > self.most:
+                        self.joined, self.joined_bytes = {}, 0
+                    self.joined[pair] = good
+                    self.joined_bytes += len(a) + len(b) + 200
+                if good:
+                    break
+                out[-2:] = [a + b]
+        return out
+
     def run(self, texts: Texts) -> Iterator[tuple[int, bytes, bytes]]:
         """Of each text: the number of ids, their decimals joined by commas, the decoded bytes."""
         starts, hashes, ranges = self.bpe.segments(texts)
@@ -118,17 +144,23 @@ class ChunkCodec:
         is_first = np.zeros(n, dtype=bool)
         is_first[firsts] = True
         joins = np.flatnonzero(cut & ~is_first)
-        if len(joins):
-            bad = self._disagreeing(texts, starts, hashes, joins)
-            if bad:  # the same pair may stand at several joins: check each occurrence again
-                for j in joins.tolist():
-                    if j in bad or self._pair_is_bad(texts, starts, j):
-                        cut[j] = False
-        heads = np.flatnonzero(cut)
         data = texts.data.tobytes()
+        merged = np.zeros(n, dtype=bool)  # chunks, by their first segment, that hold a refused join
+        if self.bpe.by_segment and len(joins):
+            bad = np.array(sorted(self._disagreeing(texts, starts, hashes, joins)), dtype=np.int64)
+            cut[bad] = False
+            kept = np.flatnonzero(cut)
+            merged[kept[np.searchsorted(kept, bad, "right") - 1]] = True
+        heads = np.flatnonzero(cut)
         lows = starts[heads]
         highs = np.append(lows[1:], len(data))
         keys = [data[a:b] for a, b in zip(lows.tolist(), highs.tolist())]
+        whole = {k for k, m in zip(keys, merged[heads].tolist()) if m}
+        at = np.searchsorted(heads, ranges).tolist()
+        if not self.bpe.by_segment:
+            lists = [self._agreed_chunks(keys[a:b]) for a, b in zip(at[:-1], at[1:])]
+            keys = [k for chunks in lists for k in chunks]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(int).tolist()
         got: dict[bytes, tuple[int, bytes, bytes | None]] = {}
         for k in keys:
             if k not in got and (v := self._get(k)) is not None:
@@ -137,10 +169,12 @@ class ChunkCodec:
         self.encoded += len(new)
         self.reused += len(keys) - len(new)
         if new:
-            for k, ids in zip(new, self._encode_pieces(new)):
+            alone = [k for k in new if k in whole]
+            rest = [k for k in new if k not in whole]
+            ids_of = [*self.bpe.whole([k.decode() for k in alone]), *self._encode_pieces(rest)]
+            for k, ids in zip([*alone, *rest], ids_of):
                 got[k] = self._result(k, ids)
                 self._put(k, got[k])
-        at = np.searchsorted(heads, ranges).tolist()
         for a, b in zip(at[:-1], at[1:]):
             mine = keys[a:b]
             parts = [got[k] for k in mine]
@@ -150,18 +184,13 @@ class ChunkCodec:
                 b"".join([k if p[2] is None else p[2] for k, p in zip(mine, parts)]),
             )
 
-    def _pair_is_bad(self, texts: Texts, starts: np.ndarray, j: int) -> bool:
-        ends = np.append(starts[1:], len(texts.data))
-        a, b, c = (texts.data[x:y].tobytes() for x, y in ((starts[j - 1], starts[j]), (starts[j], ends[j]), (starts[j - 1], ends[j])))
-        left, right = self._encode_pieces([a, b])
-        return not np.array_equal(self.bpe.whole([c.decode()])[0], np.concatenate([left, right]))
-
 
 _codecs: dict[str, ChunkCodec] = {}
 
 
 def codec(path: str) -> ChunkCodec:
-    if path not in _codecs:
+    if path not in _codecs or _codecs[path].bpe is not encoder(path):
+        _codecs.clear()
         _codecs[path] = ChunkCodec(encoder(path))
     return _codecs[path]
 

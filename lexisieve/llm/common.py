@@ -11,12 +11,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch and bytes of a numpy slice: what bounds a Python worker's memory.
 BATCH_ROWS = 1000
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
@@ -109,12 +109,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(kind: str, n: int) -> np.ndarray:
+    """Powers of the base or its inverse. Those of a slice are kept, those of a longer text are not."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else _BASE_INVERSE
         out = np.full(max(n, SLICE_BYTES + 2), base, dtype=np.uint64)
         out[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if n <= SLICE_BYTES + 2:
+            _powers[kind] = have
     return have[:n]
 
 
@@ -133,7 +136,10 @@ class Spans:
 
     def __init__(self, data: np.ndarray) -> None:
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[data] * powers("up", len(data)), out=self.sums[1:])
+        part = self.sums[1:]
+        np.take(_BYTE_CODES, data, out=part)
+        part *= powers("up", len(data))
+        np.cumsum(part, out=part)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         inverse = powers("down", len(self.sums))
@@ -211,23 +217,31 @@ def ids_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def running_total(ws: Workspace, df: DataFrame, order: list[str], value: Column | None, label: str) -> DataFrame:
-    """df in a global order, with row_no (from 0) and, where value is given, value_before.
+def running_total(ws: Workspace, df: DataFrame, order: list[str], value: str | None, label: str) -> DataFrame:
+    """df in a global order, with row_no (from 0) and, where value names a column, value_before.
 
-    The rows are range-partitioned and sorted once and written; each written partition then
-    has a row count and a total, and only those totals (one row a partition) are summed up.
-    No window spans the table.
+    The rows are range-partitioned, sorted and written once, each with its place and the sum before
+    it in its partition; the partitions' totals (one row each) are then summed up. No window spans
+    the table, and no partition is held in memory.
     """
-    spark, got = ws.spark, df.withColumn("_value", (value if value is not None else F.lit(0)).cast("long"))
-    laid = got.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(
-        *[F.col(c).asc_nulls_first() for c in order]
-    )
-    # monotonically_increasing_id is the partition (upper bits) and the row in it (lower 33)
-    laid = ws.save(laid.withColumn("_at", F.monotonically_increasing_id()), label)
-    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    from pyspark.sql import Window
-
-    totals = laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"), F.sum("_value").alias("_sum"))
+    first = [F.col(c).asc_nulls_first() for c in order]
+    amount = (F.col(value) if value else F.lit(0)).cast("long")
+    laid = df.withColumn("_value", amount).repartitionByRange(*first).sortWithinPartitions(*first).withColumn("_part", F.spark_partition_id())
+    n = len(df.columns)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = total = 0
+        for batch in batches:
+            mine = batch.column(n).to_numpy()
+            upto = total + np.cumsum(mine)
+            at = np.arange(rows, rows + len(mine))
+            if len(mine):
+                rows, total = rows + len(mine), int(upto[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(upto - mine)], names=[*batch.schema.names, "_at", "_inside"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)
+    laid = ws.save(laid.mapInArrow(work, f"{kinds}, _at long, _inside long"), label)
+    totals = laid.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_value").alias("_sum"))
     # one row for each written partition: bounded by the number of tasks, not by the rows
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
@@ -235,15 +249,8 @@ def running_total(ws: Workspace, df: DataFrame, order: list[str], value: Column
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum_before"),
     )
-    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    out = laid.withColumn("_part", part)
-    if value is not None:
-        out = out.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    else:
-        out = out.withColumn("_inside", F.lit(0))
-    out = out.join(F.broadcast(totals), "_part")
-    return out.select(
+    return laid.join(F.broadcast(totals), "_part").select(
         *df.columns,
-        (F.col("_rows_before") + local).alias("row_no"),
-        *([(F.col("_sum_before") + F.col("_inside")).alias("value_before")] if value is not None else []),
+        (F.col("_rows_before") + F.col("_at")).alias("row_no"),
+        *([(F.col("_sum_before") + F.col("_inside")).alias("value_before")] if value else []),
     )

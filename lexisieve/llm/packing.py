@@ -110,7 +110,8 @@ def pack(
     bucketed = sized.join(
         F.broadcast(buckets), (F.col("n_tokens") > F.col("_low")) & (F.col("n_tokens") <= F.col("bucket_len"))
     ).drop("_low")
-    placed = running_total(ws, bucketed, ["bucket", "doc_id"], None, "bucketed")
+    # rows of one id are in order of length; rows equal in that too are alike
+    placed = running_total(ws, bucketed, ["bucket", "doc_id", "n_tokens"], None, "bucketed")
     firsts = placed.groupBy("bucket").agg(F.min("row_no").alias("_first"))
     rank = F.col("row_no") - F.col("_first")
     fits = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("bucket_len")).cast("long"))

@@ -29,7 +29,9 @@ def assign_shards(
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    placed = running_total(ws, sized, ["doc_id", "text_crc32"], F.col("size"), "sized")
+    # the order of rows with equal id and checksum shows in no column but slot
+    placed = ws.save(running_total(ws, sized, ["doc_id", "text_crc32", "size"], "size", "sized"), "placed")
+    ws.drop("sized")
     total = placed.agg(F.max(F.col("value_before") + F.col("size")).cast("decimal(38,0)").alias("_total"))
     # total is one row; twice the middle byte against twice the total, in whole numbers
     twice = (F.col("value_before") * 2 + F.col("size")).cast("decimal(28,0)")
@@ -38,6 +40,7 @@ def assign_shards(
         .withColumn("_scaled", (twice * F.lit(n_shards)).cast("decimal(38,0)"))
         .withColumn("shard", F.expr("cast(_scaled div (2 * _total) as int)"))
     )
+    # at most n_shards rows
     firsts = cut.groupBy("shard").agg(F.min("row_no").alias("_first"))
     return cut.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("row_no") - F.col("_first")).alias("slot")

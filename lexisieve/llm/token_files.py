@@ -24,7 +24,7 @@ from .bpe import encoder
 from .common import Workspace, ids_type, prepare, slices
 
 ROW_GROUP_BYTES = 16 << 20
-PAGE_ROWS = 2000
+PAGE_ROWS = 500
 
 
 def write_tokens(
@@ -73,10 +73,29 @@ def write_tokens(
     )
 
 
+def _files(spark: SparkSession, path: str, id_type: str) -> DataFrame:
+    return spark.read.schema(f"file_no int, row_no long, doc_id {id_type}, n_tokens int, ids array<int>").parquet(path)
+
+
+def read_metadata(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """file_no, row_no, doc_id, n_tokens: the id column, by far the largest, is not read."""
+    return _files(spark, path, id_type).drop("ids")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list, id_type: str = "bigint") -> DataFrame:
+    """doc_id, n_tokens, ids of the asked documents alone.
+
+    The filter goes to the Parquet reader: files, row groups and, by the page index, pages whose
+    range of ids holds none of the asked are skipped, as rows stand in id order. Many ids
+    (beyond a literal list) are better joined to read_metadata first.
+    """
+    return _files(spark, path, id_type).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def token_digests(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """From written files alone: doc_id, start, n_tokens, ids_crc32, file_no, row_no."""
     prepare(spark)
-    files = spark.read.schema(f"file_no int, row_no long, doc_id {id_type}, n_tokens int, ids array<int>").parquet(path)
+    files = _files(spark, path, id_type)
     # only the two metadata columns are read here; one row for each file
     totals = files.groupBy("file_no").agg(F.sum(F.col("n_tokens").cast("long")).alias("_sum"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)

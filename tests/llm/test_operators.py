@@ -71,7 +71,7 @@ def test_bpe_is_the_librarys(spark, corpus):
         assert got[i]["decoded_sha256"] == hashlib.sha256(back[i].encode()).hexdigest(), i
 
 
-def test_chunks_are_reused_and_bad_joins_repaired(corpus):
+def test_chunks_are_reused(corpus):
     codec = chunk_bpe.ChunkCodec(bpe.Encoder(PATH), chunk_segments=8)
     texts = [t for t in corpus if t] * 2
     ids, _ = reference_ids(texts)
@@ -79,12 +79,44 @@ def test_chunks_are_reused_and_bad_joins_repaired(corpus):
         for k, (n, decimals, _) in enumerate(codec.run(t)):
             assert decimals == ",".join(map(str, ids[t.first + k])).encode()
     assert codec.reused > codec.encoded
-    wrong = chunk_bpe.ChunkCodec(bpe.Encoder(PATH), chunk_segments=1)
-    wrong._pair_is_bad = lambda *a: True  # every join refused: texts are encoded whole
-    wrong._disagreeing = lambda *a: {int(a[3][0])}
+
+
+def blank_spanning_tokenizer(path):
+    """A byte-level BPE without a pre-tokeniser split: its tokens cross segments and chunks."""
+    from tokenizers import AddedToken, Tokenizer, decoders, models, pre_tokenizers
+
+    merges = [("Ġ", "a"), ("Ġa", "Ġ"), ("a", "b"), ("ĠaĠ", "b"), ("b", "Ġa"), ("Ġ", "b"), ("ĠaĠb", "Ġa")]
+    letters = sorted(chunk_bpe.byte_alphabet())
+    vocab = {t: i for i, t in enumerate([*letters, *["".join(m) for m in merges]])}
+    made = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    made.decoder = decoders.ByteLevel()
+    made.add_special_tokens([AddedToken("<end>", special=True)])
+    made.save(path)
+    return made
+
+
+def test_bad_joins_are_encoded_anew(tmp_path):
+    path = str(tmp_path / "spanning.json")
+    made = blank_spanning_tokenizer(path)
+    mine = bpe.Encoder(path)
+    assert not mine.by_segment and bpe.Encoder(PATH).by_segment
+    codec = chunk_bpe.ChunkCodec(mine, chunk_segments=1)
+    rng = random.Random(3)
+    texts = ["a b", " a b a b a", "", "x"] + [" ".join(rng.choice(["a", "b", "ab", "c"]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
     for t in common.slices(pa.array(texts)):
-        for k, (n, decimals, _) in enumerate(wrong.run(t)):
-            assert decimals == ",".join(map(str, ids[t.first + k])).encode()
+        for k, (n, decimals, back) in enumerate(codec.run(t)):
+            want = made.encode(texts[t.first + k], add_special_tokens=False).ids
+            assert n == len(want) and decimals == ",".join(map(str, want)).encode() and back.decode() == texts[t.first + k]
+    assert False in codec.joined.values() and True in codec.joined.values()
+    # read by segments in spite of that, the refused joins put the chunks together again
+    split = bpe.Encoder(path)
+    split.by_segment = True
+    codec = chunk_bpe.ChunkCodec(split, chunk_segments=1)
+    some = ["q a b q a b", "c c c c a b c a"]
+    for t in common.slices(pa.array(some)):
+        list(codec.run(t))
+    assert False in codec.verdicts.values()
 
 
 def test_token_files(spark, corpus, tmp_path):
@@ -101,6 +133,31 @@ def test_token_files(spark, corpus, tmp_path):
     assert [r["ids"] for r in stored] == [[*x, 0] for x in ids]
 
 
+def test_token_files_are_read_selectively(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    texts = [prose_of(rng, rng.randint(1, 400)) for _ in range(3000)]
+    path = f"file://{tmp_path}/files"
+    token_files.write_tokens(spark, docs_of(spark, texts).coalesce(1), path, PATH, row_group_bytes=256 << 10)
+    footers = [pq.ParquetFile(f).metadata for f in sorted((tmp_path / "files").glob("*.parquet"))]
+    groups = [m.row_group(g) for m in footers for g in range(m.num_row_groups)]
+    assert len(groups) > len(footers)  # row groups are small, and cut by the asked size
+    for g in groups:
+        columns = {g.column(i).path_in_schema: g.column(i) for i in range(g.num_columns)}
+        assert g.total_byte_size < 4 * (256 << 10)
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+        # the dictionary encoding of data pages of version 1 goes by its older name
+        assert columns["ids.list.element"].has_dictionary_page and {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(columns["ids.list.element"].encodings)
+    ids, _ = reference_ids([texts[7], texts[2222]])
+    some = token_files.read_documents(spark, path, [7, 2222, 99_999])
+    assert {r["doc_id"]: r["ids"] for r in some.collect()} == {7: [*ids[0], 0], 2222: [*ids[1], 0]}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    meta = token_files.read_metadata(spark, path)
+    assert "ids" not in meta._jdf.queryExecution().executedPlan().toString() and meta.count() == 3000
+
+
 # ------------------------------------------------------------------ near duplicates
 def shingles(t):
     w = (t or "").encode().translate(FOLD).split()
