@@ -1,9 +1,10 @@
 """Exact byte-level BPE of whole texts from reused pieces (tokenizers library).
 
 The pre-tokeniser of a byte-level BPE always splits where a solid character is followed by
-white space, and what follows such a place is tokenised as if it stood alone. The text
-between two such places is a segment (its white space, then its solid run). So the ids of a
-text are the ids of its segments end to end, and a segment met before need not be encoded
+white space, and where a run of ASCII letters, digits or punctuation ends and another kind begins
+(not from punctuation to a letter: an apostrophe may belong to what follows). What follows such
+a place is tokenised as if it stood alone. The text between two such places is a segment. So the
+ids of a text are the ids of its segments end to end, and a segment met before need not be encoded
 again. Segments end at the same bytes in every document, whatever precedes them.
 
 Whether a tokenizer file splits in that way is read from the file; with one that does not
@@ -25,6 +26,13 @@ from .common import SPACE, Spans, Texts
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_BYTES = np.zeros(256, dtype=bool)
 _ODD_BYTES[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Letters, digits and punctuation of ASCII (1, 2, 3), and the changes of kind at which a segment ends.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 3
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[[*range(0x30, 0x3A)]] = 2
+_CHANGES = np.zeros(16, dtype=bool)
+_CHANGES[[4 * a + b for a, b in ((1, 2), (1, 3), (2, 1), (2, 3), (3, 2))]] = True
 #: Slots of a worker's table of segments (half of them filled at most) and ids held in all:
 #: 17 bytes a slot and 4 an id at most, so 34 MB. Beyond that the table is emptied and filled anew.
 SLOTS = 1 << 20
@@ -170,9 +178,14 @@ class Encoder:
         if not n:
             none = np.zeros(0, dtype=np.int64)
             return none, none.astype(np.uint64), np.zeros(len(texts.offsets), dtype=np.int64)
-        space = SPACE[data]
+        space, kinds = SPACE[data], _KINDS[data]
         cut = np.zeros(n, dtype=bool)
-        cut[1:] = space[1:] & ~space[:-1]
+        cut[1:] = _CHANGES[4 * kinds[:-1] + kinds[1:]]
+        if any(s in data.tobytes() for s in self.special):  # added tokens go over changes of kind
+            for i in range(len(texts)):
+                if any(s in texts.raw(i) for s in self.special):
+                    cut[texts.offsets[i] : texts.offsets[i + 1]] = False
+        cut[1:] |= space[1:] & ~space[:-1]
         # no cut inside a text that has odd white space
         if _ODD_BYTES[data].any():
             for i in range(len(texts)):

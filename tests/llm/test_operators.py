@@ -71,6 +71,29 @@ def test_bpe_is_the_librarys(spark, corpus):
         assert got[i]["decoded_sha256"] == hashlib.sha256(back[i].encode()).hexdigest(), i
 
 
+def test_segments_end_where_the_library_splits():
+    mine, rng = bpe.Encoder(PATH), random.Random(1)
+    atoms = ["a", "the", "t", "'", "'s", "'ll", '"', "$$$", ".", ",", "(", "-", "_", "1", "23", " ", "  ", "\n", "\t", "\r\n", "é", "ß", "中", "\xa0", "\u2003",
+             "\u3000", "’", "😀", "<|endoftext|>", "<|", "|>", "'S", "'re", "\x0b", "\x1c", "²", "\u0300", "\u200b", "\ufeff"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 30))) for _ in range(6000)] + ["word " * 200_000 + "x" * 100_000]
+    ids, _ = reference_ids(texts)
+    for t in common.slices(pa.array(texts), 20_000):
+        got, at = mine.encode(t)
+        for i in range(len(t)):
+            assert got[at[i] : at[i + 1]].tolist() == ids[t.first + i], texts[t.first + i][:100]
+
+
+def test_the_segment_table_stays_small(monkeypatch):
+    monkeypatch.setattr(bpe, "SLOTS", 1 << 8)
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    mine, rng = bpe.Encoder(PATH), random.Random(2)
+    texts = [prose_of(rng, 200, 5000) for _ in range(30)]
+    ids, _ = reference_ids(texts)
+    for t in common.slices(pa.array(texts), 4000):
+        got, at = mine.encode(t)
+        assert all(got[at[i] : at[i + 1]].tolist() == ids[t.first + i] for i in range(len(t))) and mine.table.held <= 128
+
+
 def test_chunks_are_reused(corpus):
     codec = chunk_bpe.ChunkCodec(bpe.Encoder(PATH), chunk_segments=8)
     texts = [t for t in corpus if t] * 2
