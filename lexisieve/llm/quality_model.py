@@ -5,17 +5,25 @@ A linear model g over byte statistics minimises
     prior * E_pos[l(g)] + max(0, E_all[l(-g)] - prior * E_pos[l(-g)]) + ridge,   l(z) = (1 - z)^2 / 4
 
 from trusted positives (labelled 1, outside the held-out fold), unlabelled web text (every
-document, labels unseen) and a class prior (the share of 1 among labelled rows outside the
-held-out fold). With the squared loss the risk is a function of second moments alone, so one
-pass over all documents gathers one small matrix a partition; nothing is sampled and no text
-reaches the driver. The raw value g is turned into a probability by a logistic curve fitted on
-at most CALIBRATION_ROWS labelled rows outside the held-out fold.
+document, labels unseen) and an estimated class prior. With the squared loss the risk is a
+function of second moments alone, so one pass over all documents gathers a few small matrices a
+partition; nothing is sampled and no text reaches the driver.
+
+The prior is estimated from positives and unlabelled scores, without negatives: no share of all
+documents above a threshold can be less than the prior times the share of positives above it, so
+the least ratio of the two bounds the prior (each share widened by its sampling error). To keep
+fitted rows out of it, positives are halved by a hash of the id: a model fitted on one half is
+counted on the other half and on the documents outside the first; both ways are averaged.
+
+The raw value g is turned into a probability by a logistic curve fitted on at most
+CALIBRATION_ROWS labelled rows outside the held-out fold.
 
 Features: square roots of byte frequencies and of hashed byte-pair frequencies, the share of
 words that repeat the word before, and the length.
 Null and empty texts have the features of an empty text and so get a score too. Ids, language
 and source are never features. Repeated ids are scored row by row; where labels repeat an id,
-each label counts. Without usable labels every score is the prior (0.5 if unknown).
+each label counts. Without usable positives the prior is 0.5, and so is every score. An empty
+table gives no rows. Other columns are kept, but one named like the new column gives way to it.
 """
 
 from __future__ import annotations
@@ -35,6 +43,14 @@ WIDTH = 1 + 130 + PAIR_BINS + 2 + 3
 RIDGE = 1e-3
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
+#: Scores are counted in bins for the prior: the squared loss draws them to -1 and 1.
+SCORE_BINS, SCORE_REACH = 3000, 3.0
+#: Chance allowed to each share's sampling error, and the least share of positives looked at.
+DOUBT, LEAST_SHARE = 0.05, 0.05
+
+
+#: ASCII bytes stand for themselves; of others only the two halves of a character are told apart.
+_FOLDED = np.array([b if b < 128 else 128 + (b >= 0xC2) for b in range(256)], dtype=np.uint8)
 
 
 def features(texts: Texts) -> np.ndarray:
@@ -44,12 +60,16 @@ def features(texts: Texts) -> np.ndarray:
     out = np.zeros((n, WIDTH))
     out[:, 0] = 1.0
     if len(data):
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        folded = np.where(data < 128, data, 128 + (data >= 0xC2).astype(np.uint8)).astype(np.int64)
-        single = np.bincount(owner * 130 + folded, minlength=n * 130).reshape(n, 130)
-        pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 7) % PAIR_BINS
-        same = owner[:-1] == owner[1:]
-        double = np.bincount((owner[:-1] * PAIR_BINS + pair)[same], minlength=n * PAIR_BINS).reshape(n, PAIR_BINS)
+        # 32 bits serve: a slice has at most SLICE_BYTES bytes and as many texts, or one text
+        small = np.int32 if n * PAIR_BINS < 2**31 else np.int64
+        owner = np.repeat(np.arange(n, dtype=small), lengths)
+        cell = owner * small(130)
+        cell += _FOLDED[data]
+        single = np.bincount(cell, minlength=n * 130).reshape(n, 130)
+        cell = owner[:-1] * small(PAIR_BINS)
+        cell += data[:-1] * np.uint8(31) + data[1:] * np.uint8(7)  # modulo PAIR_BINS: bytes wrap around
+        double = np.bincount(cell[owner[:-1] == owner[1:]], minlength=n * PAIR_BINS).reshape(n, PAIR_BINS)
+        del owner, cell
         size = np.maximum(lengths, 1)[:, None]
         out[:, 1:131] = np.sqrt(single / size)
         out[:, 131 : 131 + PAIR_BINS] = np.sqrt(double / size)
@@ -128,6 +148,102 @@ def minimise_risk(prior: float, all_a: np.ndarray, all_m: np.ndarray, pos_a: np.
     return best
 
 
+_TRIANGLE = np.triu_indices(WIDTH)
+_KINDS = ("all", "pos0", "pos1")
+
+
+def _moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
+    """Weight and sums (upper triangle of products, then features) of all rows and of positives by half."""
+    tri = _TRIANGLE
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, plain, weight = np.zeros((3, WIDTH, WIDTH)), np.zeros((3, WIDTH)), np.zeros(3)
+        for batch in batches:
+            x, ones, half = _matrix(batch.column(0)), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy()
+            # a null id has no label, so a null half is never looked at
+            for k, mine in enumerate((np.ones(len(x), bool), (ones > 0) & (half == 0), (ones > 0) & (half == 1))):
+                w = np.ones(len(x)) if k == 0 else ones[mine]
+                part = x if k == 0 else x[mine]
+                if len(part):
+                    products[k] += (part * w[:, None]).T @ part
+                    plain[k] += w @ part
+                    weight[k] += w.sum()
+        flat = [np.concatenate([products[k][tri], plain[k]]).tobytes() for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(_KINDS), pa.array(weight), pa.array(flat, pa.binary())], names=["kind", "weight", "sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list] = {}
+        for batch in batches:
+            for kind, w, flat in zip(*(c.to_pylist() for c in batch.columns)):
+                have = total.setdefault(kind, [0.0, 0.0])
+                have[0] += w
+                have[1] = have[1] + np.frombuffer(flat)
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total)), pa.array([v[0] for v in total.values()]), pa.array([v[1].tobytes() for v in total.values()], pa.binary())],
+                names=["kind", "weight", "sums"],
+            )
+
+    schema = "kind string, weight double, sums binary"
+    part = rows.mapInArrow(gather, schema)
+    # three small matrices a task, added in two rounds before the driver gets 8 sets at most
+    for ways in (256, 8):
+        part = part.repartition(F.spark_partition_id() % ways).mapInArrow(merge, schema)
+    total = {k: (0.0, np.zeros(len(tri[0]) + WIDTH)) for k in _KINDS}
+    for r in part.collect():
+        w, s = total[r["kind"]]
+        total[r["kind"]] = (w + r["weight"], s + np.frombuffer(bytes(r["sums"])))
+    return total
+
+
+def _mean(sums: tuple[float, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean products (whole matrix) and mean features."""
+    w, s = sums
+    a, n = np.zeros((WIDTH, WIDTH)), len(_TRIANGLE[0])
+    a[_TRIANGLE] = s[:n] / w
+    return a + np.triu(a, 1).T, s[n:] / w
+
+
+def bounded_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The least ratio of the shares above a threshold, from two histograms of scores."""
+    u, p = (np.cumsum(x[::-1]) / x.sum() for x in (unlabelled, positive))
+    off_u, off_p = (np.sqrt(np.log(2 / DOUBT) / 2 / x.sum()) for x in (unlabelled, positive))
+    seen = p > 2 * off_p + LEAST_SHARE
+    return float(((u[seen] + off_u) / (p[seen] - off_p)).min()) if seen.any() else 1.0
+
+
+def _estimated_prior(table: DataFrame, known: DataFrame, half: Column, sums: dict[str, tuple[float, np.ndarray]], every: tuple[np.ndarray, np.ndarray]) -> float:
+    """The class prior from scores of positives and of all documents, each half judged by the other's model."""
+    halves = [k for k in (0, 1) if sums[f"pos{k}"][0] and sums[f"pos{1 - k}"][0]]
+    if not halves:
+        return 0.5
+    models = [minimise_risk(0.5, *every, *_mean(sums[f"pos{k if k in halves else halves[0]}"])) for k in (0, 1)]
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            at = [np.clip((x @ w + SCORE_REACH) * (SCORE_BINS / 2 / SCORE_REACH), 0, SCORE_BINS - 1).astype(np.int32) for w in models]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, at)], names=["doc_id", "bin0", "bin1"])
+
+    # two small numbers a document are joined to the labels, not its features
+    placed = table.select("doc_id", "x").mapInArrow(bins, f"doc_id {ids_type(table)}, bin0 int, bin1 int")
+    placed = placed.join(known.where("ones > 0"), "doc_id", "left").withColumn("half", half)
+    seen = np.zeros((4, SCORE_BINS))
+    for k in halves:
+        fitted = F.col("ones").isNotNull() & (F.col("half") == k)
+        counted = placed.where(~fitted).groupBy(F.col(f"bin{k}").alias("bin")).agg(
+            F.count("*").alias("n"), F.coalesce(F.sum("ones"), F.lit(0)).alias("p")
+        )
+        for r in counted.collect():  # at most SCORE_BINS rows
+            seen[2 * k, r["bin"]], seen[2 * k + 1, r["bin"]] = r["n"], r["p"]
+    found = []
+    for k in halves:
+        apart, n_fit = seen[2 * k].sum(), seen[2 * (1 - k) + 1].sum()  # documents outside the fitted half, and in it
+        if seen[2 * k + 1].sum():
+            found.append((min(bounded_prior(seen[2 * k], seen[2 * k + 1]), 1.0) * apart + n_fit) / (apart + n_fit))
+    return min(max(float(np.mean(found)), 0.01), 0.99) if found else 0.5
+
+
 def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 5 == 0
 
@@ -165,61 +281,14 @@ def fit_features(table: DataFrame, labels: DataFrame) -> QualityModel:
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.sum("quality").alias("ones"), F.count("*").alias("labels_"))
     )
-    rows = table.join(known, "doc_id", "left")
-    tri = np.triu_indices(WIDTH)
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: (np.zeros((WIDTH, WIDTH)), np.zeros(WIDTH)) for k in ("all", "pos")}
-        weight = {"all": 0.0, "pos": 0.0}
-        for batch in batches:
-            ones = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-            x, hot = _matrix(batch.column(0)), ones > 0
-            for kind, part, w in (("all", x, np.ones(len(x))), ("pos", x[hot], ones[hot])):
-                if len(part):
-                    a, m = sums[kind]
-                    a += (part * w[:, None]).T @ part
-                    m += w @ part
-                    weight[kind] += float(w.sum())
-        flat = [np.concatenate([sums[k][0][tri], sums[k][1]]).tobytes() for k in ("all", "pos")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["all", "pos"]), pa.array([weight["all"], weight["pos"]]), pa.array(flat, pa.binary())], names=["kind", "weight", "sums"]
-        )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, list] = {}
-        for batch in batches:
-            for kind, w, flat in zip(*(c.to_pylist() for c in batch.columns)):
-                have = total.setdefault(kind, [0.0, 0.0])
-                have[0] += w
-                have[1] = have[1] + np.frombuffer(flat)
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total)), pa.array([v[0] for v in total.values()]), pa.array([v[1].tobytes() for v in total.values()], pa.binary())],
-                names=["kind", "weight", "sums"],
-            )
-
-    schema = "kind string, weight double, sums binary"
-    per_task = rows.select("x", "ones").mapInArrow(moments, schema)
-    # two small matrices a task, added in a tree before the driver gets them
-    partial = per_task.repartition(8, F.spark_partition_id() % 8).mapInArrow(merge, schema)
-    total: dict[str, tuple[float, np.ndarray]] = {}
-    for r in partial.collect():
-        w, s = total.get(r["kind"], (0.0, np.zeros(len(tri[0]) + WIDTH)))
-        total[r["kind"]] = (w + r["weight"], s + np.frombuffer(bytes(r["sums"])))
-    share = known.agg(F.sum("ones").alias("ones"), F.sum("labels_").alias("n")).first()
-    prior = float(share["ones"]) / float(share["n"]) if share["n"] else 0.5
-    prior = min(max(prior, 0.01), 0.99)
-    flat_shift = float(np.log(prior / (1 - prior)))
-    if "pos" not in total or not total["pos"][0]:
-        return QualityModel(np.zeros(WIDTH), 0.0, flat_shift, prior)
-
-    def mean(kind: str) -> tuple[np.ndarray, np.ndarray]:
-        w, s = total[kind]
-        a = np.zeros((WIDTH, WIDTH))
-        a[tri] = s[: len(tri[0])] / w
-        return a + np.triu(a, 1).T, s[len(tri[0]) :] / w
-
-    weights = minimise_risk(prior, *mean("all"), *mean("pos"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    rows = table.join(known, "doc_id", "left").select("x", F.coalesce("ones", F.lit(0)).alias("ones"), half.alias("half"))
+    sums = _moments(rows)
+    if not sums["pos0"][0] + sums["pos1"][0]:
+        return QualityModel(np.zeros(WIDTH), 0.0, 0.0, 0.5)
+    every, positive = _mean(sums["all"]), _mean((sums["pos0"][0] + sums["pos1"][0], sums["pos0"][1] + sums["pos1"][1]))
+    prior = _estimated_prior(table, known, half, sums, every)
+    weights = minimise_risk(prior, *every, *positive)
     raw_model = QualityModel(weights, 1.0, 0.0, prior)
     # at most CALIBRATION_ROWS ids: small enough to be broadcast, so the features are not moved again
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
@@ -256,7 +325,9 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     at = docs.columns.index(text_col)
     plain = docs.toDF(*names)
     plain = plain.withColumn("_text", F.col(names[at]).cast("string"))
-    return _rate(plain, model, raw=False, keep=names, of="_text").toDF(*docs.columns, out)
+    rated = _rate(plain, model, raw=False, keep=names, of="_text")
+    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns) if c.lower() != out.lower()]
+    return rated.select(*kept, F.col("value").alias(out))
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:

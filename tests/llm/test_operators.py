@@ -401,6 +401,42 @@ def test_quality_model(spark):
     assert none.prior == 0.5 and np.isfinite(none.score(np.zeros((1, quality_model.WIDTH)))).all()
 
 
+def test_the_prior_comes_from_positives_and_unlabelled(spark):
+    rng = random.Random(10)
+    junk = [rng.random() < 0.4 for _ in range(3000)]
+    texts = [("!! ".join(t.upper().split()) if j else t) for j in junk for t in [prose_of(rng, 30)]]
+    docs = docs_of(spark, texts)
+    # labels of positives alone, and far more of them than their share: the labelled share says 1.0
+    lab = spark.createDataFrame([(i, 1, 0) for i, j in enumerate(junk) if not j][:1200], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(spark, docs, lab)
+    assert abs(model.prior - (1 - np.mean(junk))) < 0.08
+
+
+def test_the_model_is_the_brute_force_one(spark):
+    """The weights, on all rows in memory, from the risk's own gradient."""
+    rng = random.Random(11)
+    texts = [prose_of(rng, rng.randint(5, 60)) if rng.random() < 0.6 else "".join(rng.choices("#$%ab 1", k=200)) for _ in range(300)]
+    quality = [int("w" in t) for t in texts]
+    docs = docs_of(spark, texts)
+    lab = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality) if i % 2], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(spark, docs, lab)
+    x = np.concatenate([quality_model.features(t) for t in common.slices(pa.array(texts))])
+    used = [i for i in range(1, 300, 2) if quality[i] and zlib.crc32(str(i).encode()) % 5]
+
+    def risk(w):
+        g = x @ w
+        loss = lambda z: ((1 - z) ** 2 / 4).mean()
+        ridge = quality_model.RIDGE * (w[1:] @ w[1:] + 1e-3 * w[0] ** 2) / 2
+        return model.prior * loss(g[used]) + max(0.0, loss(-g) - model.prior * loss(-g[used])) + ridge
+
+    least, step, g = risk(model.weights), np.random.default_rng(0), x @ model.weights
+    if ((1 + g) ** 2 / 4).mean() > model.prior * ((1 + g[used]) ** 2 / 4).mean() + 1e-6:  # inside the region without correction
+        assert all(risk(model.weights + step.normal(0, 1e-3, len(model.weights))) > least - 1e-9 for _ in range(50))
+    got = {r["doc_id"]: r["s"] for r in quality_model.score_quality(docs, model, out="s").collect()}
+    want = 1 / (1 + np.exp(-np.clip(model.slope * (x @ model.weights) + model.shift, -40, 40)))
+    assert np.allclose([got[i] for i in range(300)], want) and least < risk(np.zeros(len(model.weights)))
+
+
 def test_held_out_labels_are_not_used(spark):
     texts = [prose_of(random.Random(i), 40) for i in range(60)]
     docs = docs_of(spark, texts)
