@@ -186,8 +186,8 @@ def _moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
 
     schema = "kind string, weight double, sums binary"
     part = rows.mapInArrow(gather, schema)
-    # three small matrices a task, added in two rounds before the driver gets 8 sets at most
-    for ways in (256, 8):
+    # three small matrices a task, added in rounds before the driver gets one set
+    for ways in (256, 16, 1):
         part = part.repartition(F.spark_partition_id() % ways).mapInArrow(merge, schema)
     total = {k: (0.0, np.zeros(len(tri[0]) + WIDTH)) for k in _KINDS}
     for r in part.collect():

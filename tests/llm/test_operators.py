@@ -274,6 +274,49 @@ def test_fingerprints_meet_every_window():
         assert all(at & set(range(i, i + 3)) for i in range(len(h) - 2))
 
 
+def test_heavy_seeds_and_margins_change_nothing(spark, corpus, monkeypatch):
+    docs = docs_of(spark, corpus * 2 + ["w1 w2 w3 w4 " * 200, "w1 w2 w3 w4 " * 150])
+    frames = []
+    for heavy, margin in ((10**9, 10**6), (2, 10**6), (2, 3), (4, 64)):
+        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+        monkeypatch.setattr(substring_dedup, "MARGIN", margin)
+        frames.append(sorted(map(tuple, substring_dedup.find_passages(spark, docs).collect())))
+    assert len(frames[0]) > 100 and all(f == frames[0] for f in frames[1:])
+
+
+def longest_common(a, b):
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for x in a:
+        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
+        np.maximum.accumulate(row, out=row)
+    return int(row[-1])
+
+
+def test_common_words_of_gaps(monkeypatch):
+    rng = np.random.default_rng(3)
+    for block in (7, 16_384):
+        monkeypatch.setattr(substring_dedup, "LCS_BLOCK", block)
+        for _ in range(400):
+            a, b = (rng.integers(0, rng.integers(1, 9), rng.integers(0, 40)).astype(np.uint32) for _ in range(2))
+            assert substring_dedup._common(a, b) == (longest_common(a, b) if len(a) and len(b) else 0)
+
+
+def test_passages_are_alignments(spark, corpus):
+    """Every reported passage, fuzzy ones too, against the words of both texts."""
+    words = [np.array([hash(w) for w in (t or "").encode().translate(FOLD).split()]) for t in corpus]
+    got = substring_dedup.find_passages(spark, docs_of(spark, corpus)).collect()
+    fuzzy = 0
+    for r in got:
+        mine, theirs = words[r["doc_id"]][r["word_start"] : r["word_end"]], words[r["source_id"]][r["source_word_start"] : r["source_word_end"]]
+        text = corpus[r["doc_id"]].encode()[r["byte_start"] : r["byte_end"]].translate(FOLD).split()
+        assert [hash(w) for w in text] == mine.tolist()
+        most = longest_common(mine, theirs)
+        assert r["matches"] <= most and r["similarity"] == r["matches"] / max(len(mine), len(theirs)) >= 0.75
+        assert most / max(len(mine), len(theirs)) - r["similarity"] < 0.1
+        fuzzy += r["similarity"] < 1
+    assert fuzzy > 20
+
+
 def test_passages(spark, corpus):
     got = substring_dedup.find_passages(spark, docs_of(spark, corpus, [(None, corpus[20], "en", "s", 1)])).collect()
     words = [(t or "").encode().translate(FOLD).split() for t in corpus]
