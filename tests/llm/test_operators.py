@@ -277,9 +277,9 @@ def test_fingerprints_meet_every_window():
 def test_heavy_seeds_and_margins_change_nothing(spark, corpus, monkeypatch):
     docs = docs_of(spark, corpus * 2 + ["w1 w2 w3 w4 " * 200, "w1 w2 w3 w4 " * 150])
     frames = []
-    for heavy, margin in ((10**9, 10**6), (2, 10**6), (2, 3), (4, 64)):
-        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
-        monkeypatch.setattr(substring_dedup, "MARGIN", margin)
+    for heavy, margin, hot, ids, together in ((10**9, 10**6, 10**9, 0, 10**6), (2, 10**6, 2, 10**6, 1), (2, 3, 2, 0, 2), (4, 64, 10, 10**6, 9)):
+        for name, value in (("HEAVY", heavy), ("MARGIN", margin), ("HOT", hot), ("MOST_IDS", ids), ("SPANS_TOGETHER", together)):
+            monkeypatch.setattr(substring_dedup, name, value)
         frames.append(sorted(map(tuple, substring_dedup.find_passages(spark, docs).collect())))
     assert len(frames[0]) > 100 and all(f == frames[0] for f in frames[1:])
 
