@@ -226,31 +226,51 @@ def test_components_of_chains(spark):
 
 
 # ------------------------------------------------------------------ lines and passages
-def brute_lines(texts, run):
-    seen, out = {}, []
+def brute_lines(texts, run, lone_words=8):
+    seen, alone, out = {}, set(), []
     for i, t in enumerate(texts):
         lines = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, x in enumerate((t or "").split("\n"))]
         lines = [x for x in lines if x[1]]
         dead = set()
         for k in range(len(lines) - run + 1):
-            key = tuple(x[1] for x in lines[k : k + run])
+            key, last = tuple(x[1] for x in lines[k : k + run]), lines[k + run - 1][0]
             if key in seen:
-                dead |= set(range(lines[k][0], lines[k + run - 1][0] + 1))
+                own, source_last = seen[key]
+                dead |= set(range(max(lines[k][0], source_last + 1) if own == i else lines[k][0], last + 1))
             else:
-                seen[key] = i
+                seen[key] = i, last
+        for k, x in lines if run > 1 else []:
+            if len(lines) == 1 or len(re.findall("[^ \t\n\x0b\x0c\r]+", x)) >= lone_words:
+                if x in alone:
+                    dead.add(k)
+                alone.add(x)
         out.append(None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead))
     return out
 
 
-@pytest.mark.parametrize("run", [2, 3])
-def test_line_runs(spark, run):
+@pytest.mark.parametrize("run,heavy", [(2, 16), (3, 2), (1, 2)])
+def test_line_runs(spark, run, heavy, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
     rng = random.Random(run)
-    texts = [None, "", "\n\n", "a\nb\nc", "a\nb\nc", "a\na\na\na"]
-    texts += ["\n".join(rng.choice(["a", "b", "c", "d ", " e", "", "f"]) for _ in range(rng.randint(1, 12))) for _ in range(80)]
-    docs = docs_of(spark, texts).withColumn("dead", F.lit(7)).withColumn("_row", F.lit("x"))
+    long_ = ["the long line of eight words stands here", "a  long\x0bline of more than eight words in all ", "seven words are not enough for this"]
+    texts = [None, "", "\n\n", "a\nb\nc", "a\nb\nc", "a\na\na\na", "a\nb\na\nb\na", "short", "short", "x\n\nx", "p\n\n \np\np"]
+    texts += ["\n".join(rng.choice(["a", "b", "c", "d ", " e", "", "f", "a", *long_]) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    docs = docs_of(spark, texts).withColumn("dead", F.lit(7)).withColumn("_row", F.lit("x")).withColumn("removed_lines", F.lit(1))
     got = line_dedup.dedup_lines(spark, docs, run).orderBy("doc_id").collect()
-    assert [r["text"] for r in got] == brute_lines(texts, run)
+    want = brute_lines(texts, run)
+    assert [r["text"] for r in got] == want
+    assert run == 1 or (want[5], want[8], want[9]) == ("a\na" if run == 2 else "a\na\na", "", "x\n\nx")
     assert all(r["dead"] == 7 and r["_row"] == "x" for r in got)
+    for r, t in zip(got, texts):
+        left = [x for k, x in enumerate((t or "").split("\n")) if k not in r["removed_lines"]]
+        assert "\n".join(left) == (r["text"] or "")
+
+
+def test_line_runs_are_maximal_and_have_sources(spark):
+    texts = ["a\nb\nc\nd", "x\nb\nc\nd\ny\n\na\nb", "q\nq"]
+    ws = common.Workspace(spark, "test")
+    got = line_dedup.find_runs(spark, ws, docs_of(spark, texts).select("doc_id", "text")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 2, 2, 2), (1, 0, 10, 0, 1)]
 
 
 def test_the_stage_deletes_single_repeated_lines(spark):
