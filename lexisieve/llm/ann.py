@@ -9,28 +9,36 @@ follows a beam of BEAM nodes and takes the best of what it met; the shards' answ
 (distance, id). Distances in the answer are exact, in double precision, on the vectors as given.
 
 Equal vectors are one node that keeps its K + 1 smallest ids, so a large group of copies
-costs one node and still answers exactly. Shards are dealt by a hash of the vector, about
-SHARD_ROWS each; queries go to a shard in blocks, so neither side gathers in one task.
+costs one node and still answers exactly. Shards are dealt by a hash of the vector. A shard has
+SHARD_ROWS vectors, or more in a large table: one in SHARDS_MOST of all, as far as SHARD_BYTES allow,
+since a search costs little more in a larger graph and every query enters every shard. A graph
+goes to one task, once; the queries stream past it in Arrow batches, and neither copies of graphs
+nor all queries are ever held.
+
+Graphs and searches work on vectors less the shard's mean and divided by its largest component, in
+single precision, so that any finite scale of the table serves.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components take no part,
 as query or as candidate; vectors of another length than the query's are no candidates. Rows
 with a null id take no part. Rows that repeat an id and a vector are one; an id with several
-vectors may be found once by each. With fewer than K candidates all are returned. An empty
+vectors is found once, by the nearest, and asks with all of them. With fewer than K candidates all are returned. An empty
 table gives no rows; other columns are passed by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, ids_type, prepare
 
-SHARD_ROWS, QUERY_BLOCK = 8192, 2048
+SHARD_ROWS, SHARDS_MOST, SHARD_BYTES = 8192, 1000, 128 << 20
+#: Compute, not size, asks for many tasks here: two for each shard, so that few meet in one.
+TASKS_MOST = 10_000
 DEGREE, BEAM, BUILD_BEAM, ALPHA = 32, 128, 48, 1.2
 K = 10
 
@@ -178,14 +186,28 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, batch: np.ndarray, degree: in
     return
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), -1)
+def _matrix(lists: pa.Array, kind: type = np.float64) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(lists), -1)
+
+
+def _scaled(x: np.ndarray, middle: np.ndarray, scale: float) -> np.ndarray:
+    # what lies far outside the shard keeps its direction; the answer's distances are computed anew
+    return np.clip((x - middle) / scale, -1e15, 1e15).astype(np.float32)
+
+
+def _frame(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean of a shard's vectors and their largest component less the mean."""
+    top = float(np.abs(x).max())
+    middle = (x / top).mean(axis=0) * top
+    return middle, float(np.abs(x - middle).max()) or top
 
 
 def _build(table: pa.Table) -> pa.Table:
     """One shard: node, shard, dim, vec, ids -> with near (neighbour rows) and entry."""
-    x = _matrix(table.column("vec").combine_chunks()).astype(np.float32)
+    exact = _matrix(table.column("vec").combine_chunks())
+    x = _scaled(exact, *_frame(exact))
     graph, entry = build_graph(x)
     mark = np.zeros(len(x), dtype=bool)
     mark[entry] = True
@@ -197,36 +219,69 @@ def _build(table: pa.Table) -> pa.Table:
     })
 
 
-def _search(key: tuple, shard: pa.Table, asked: pa.Table, k: int, beam: int) -> pa.Table:
-    names, kind = ["query_id", "vec_id", "score"], asked.schema.field("query_id").type
-    if not len(shard) or not len(asked):
-        return pa.table([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=names)
-    shard = shard.take(pc.sort_indices(shard, sort_keys=[("row", "ascending")]))
-    exact = _matrix(shard.column("vec").combine_chunks())
-    x = exact.astype(np.float32)
-    graph = _matrix(shard.column("near").combine_chunks()).astype(np.int64)
-    entry = np.flatnonzero(shard.column("entry").to_numpy())
-    ids = shard.column("ids").to_pylist()
-    q = _matrix(asked.column("qvec").combine_chunks())
-    query_ids = asked.column("query_id").to_pylist()
-    out_q, out_v, out_s = [], [], []
-    for lo in range(0, len(q), 512):
-        mine = q[lo : lo + 512]
-        nodes, _ = beam_search(x, graph, entry, mine.astype(np.float32), beam)
-        for i, row in enumerate(nodes):
-            row = row[row >= 0]
-            d = np.sqrt(((exact[row] - mine[i]) ** 2).sum(axis=1))
-            own, best = query_ids[lo + i], []
-            for j in np.argsort(d, kind="stable").tolist():
-                if len(best) >= k and d[j] > best[-1][0]:
-                    break
-                best += [(float(d[j]), v) for v in ids[row[j]] if v != own][:k]
-                best.sort()
-                best = best[:k]
-            out_q += [own] * len(best)
-            out_v += [v for _, v in best]
-            out_s += [s for s, _ in best]
-    return pa.table([pa.array(out_q, kind), pa.array(out_v, kind), pa.array(out_s, pa.float64())], names=names)
+class _Shard:
+    """A graph in memory, and its answers."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.exact = _matrix(table.column("vec").combine_chunks())
+        self.frame = _frame(self.exact)
+        self.x = _scaled(self.exact, *self.frame)
+        self.graph = _matrix(table.column("near").combine_chunks(), np.int32)
+        self.entry = np.flatnonzero(table.column("entry").to_numpy())
+        self.ids = table.column("ids").to_pylist()
+
+    def answer(self, own: list, q: np.ndarray, k: int, beam: int) -> tuple[list, list, list]:
+        """Query ids, vector ids and exact distances of the k nearest met by each query."""
+        out: tuple[list, list, list] = ([], [], [])
+        for lo in range(0, len(q), 512):
+            mine = q[lo : lo + 512]
+            nodes, _ = beam_search(self.x, self.graph, self.entry, _scaled(mine, *self.frame), beam)
+            for i, row in enumerate(nodes):
+                row = row[row >= 0]
+                d = np.sqrt(((self.exact[row] - mine[i]) ** 2).sum(axis=1))
+                me, best = own[lo + i], {}
+                for j in np.argsort(d, kind="stable").tolist():
+                    far = float(d[j])
+                    if len(best) >= k and far > sorted(best.values())[k - 1]:
+                        break
+                    for v in self.ids[row[j]]:
+                        if v != me and far < best.get(v, np.inf):
+                            best[v] = far
+                nearest_ = sorted((s, v) for v, s in best.items())[:k]
+                out[0].extend([me] * len(nearest_))
+                out[1].extend(v for _, v in nearest_)
+                out[2].extend(s for s, _ in nearest_)
+        return out
+
+
+def _search(k: int, beam: int):
+    """Rows sorted by dim and shard, nodes (by row) before queries: answers as query_id, vec_id, score."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, shard = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dim, no = batch.column("dim").to_numpy(), batch.column("shard").to_numpy()
+            asks = batch.column("row").is_null().to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((dim[1:] != dim[:-1]) | (no[1:] != no[:-1]) | (asks[1:] != asks[:-1])) + 1
+            bounds = [0, *change.tolist(), len(dim)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if (mine := (int(dim[a]), int(no[a]))) != key:
+                    key, parts, shard = mine, [], None
+                piece = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append(piece)
+                    continue
+                if shard is None and parts:
+                    shard, parts = _Shard(pa.Table.from_batches(parts)), []
+                if shard is not None:
+                    found = shard.answer(piece.column("query_id").to_pylist(), _matrix(piece.column("vec")), k, beam)
+                    kind = batch.schema.field("query_id").type
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"]
+                    )
+
+    return work
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -253,30 +308,36 @@ def nearest(
     by_vector = Window.partitionBy("vec").orderBy("vec_id")
     few = good.withColumn("_r", F.row_number().over(by_vector)).where(F.col("_r") <= k + 1)
     distinct = ws.save(few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-distinct.count() // shard_rows))
+    size = distinct.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    widest = max(1, SHARD_BYTES // (4 * (size["dim"] or 1)))
+    rows = min(max(shard_rows, -(-size["n"] // SHARDS_MOST)), max(shard_rows, widest))
+    shards = max(1, -(-size["n"] // rows))
     dealt = distinct.select(
         F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids"
     )
     graphs = ws.save(
-        dealt.groupBy("dim", "shard").applyInArrow(
+        dealt.repartition(min(2 * shards, TASKS_MOST), "dim", "shard").groupBy("dim", "shard").applyInArrow(
             _build, f"dim int, shard int, row int, vec array<double>, ids array<{kind}>, near array<int>, entry boolean"
         ),
         "graphs",
     )
-    asked = usable(queries, id_col, vec_col).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    asked = asked.withColumn("dim", F.size("qvec")).withColumn("block", block).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    ws.drop("nodes")
+    # the stated queries against all rows: every query goes to every shard, every graph to one task
+    asked = usable(queries, id_col, vec_col).distinct().select(
+        F.size("vec").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+        F.col("vec_id").alias("query_id"), "vec",
     )
-    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    found = copies.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
-        lambda key, a, b: _search(key, a, b, k, beam), f"query_id {kind}, vec_id {kind}, score double"
+    columns = ["dim", "shard", "row", "query_id", "vec", "ids", "near", "entry"]
+    both = graphs.withColumn("query_id", F.lit(None).cast(kind)).select(*columns).unionAll(
+        asked.select("dim", "shard", F.lit(None).cast("int").alias("row"), "query_id", "vec", F.lit(None).cast(f"array<{kind}>").alias("ids"),
+                     F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("boolean").alias("entry"))
     )
+    laid = both.repartition(min(2 * shards, TASKS_MOST), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("row").asc_nulls_last())
+    found = laid.mapInArrow(_search(k, beam), f"query_id {kind}, vec_id {kind}, score double")
     nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        found.distinct().withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+        found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        .withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 

@@ -585,6 +585,31 @@ def test_nearest(spark):
     assert [v for _, _, v in got[0]] == list(range(700, 710))
 
 
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e25])
+def test_nearest_at_any_scale(spark, scale):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(300, 8)) + 3.0) * scale
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = ann.nearest(spark, df, df.where("vec_id % 100 = 0"), shard_rows=100).collect()
+    for q in (0, 100, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for _, i in sorted((d[i], i) for i in range(300) if i != q)[:10]]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_graphs_are_not_copied(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    plan = ann.nearest(spark, df, df, shard_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate explode") == 1 and "CoGroup" not in plan
+
+
+def test_an_id_with_several_vectors_is_found_once(spark):
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (1, [1.0, 0.1]), (2, [1.0, 0.3]), (100, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(2))
+    got = ann.nearest(spark, df, df.where("vec_id = 100")).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2)] and np.isclose(got[0]["score"], 0.1)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 4.0, 5.0])], "vec_id long, embedding array<double>")
     got = ann.nearest(spark, df, df.where("vec_id % 100 = 0")).collect()
