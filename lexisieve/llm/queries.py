@@ -12,7 +12,7 @@ from .line_dedup import LINE_DEDUP_SQL, line_dedup_query
 from .minhash import NEAR_DUPLICATE_SQL, near_duplicate_query
 from .packing import packing_query
 from .quality_model import quality_query
-from .quality_rules import quality_rules_query
+from .quality_rules import QUALITY_RULES_SQL, quality_rules_query
 from .sharding import shard_query
 from .substring_dedup import passage_query
 from .token_files import token_query
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_minhash": NEAR_DUPLICATE_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_minhash": NEAR_DUPLICATE_SQL, "op10_quality_rules": QUALITY_RULES_SQL}
