@@ -23,15 +23,30 @@ def _stands_alone(line: Column) -> Column:
     )
 
 
+def _running(lengths: Column) -> Column:
+    """Sums before each length, and the total last."""
+    start = F.array(F.lit(0))
+    return F.aggregate(lengths, start, lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+
+
 def starts_of(pieces: Column, gap: int = 0) -> Column:
-    """Offsets of consecutive pieces that are gap characters apart."""
-    def step(state: Column, piece: Column) -> Column:
-        return F.struct(
-            (state["pos"] + F.length(piece) + gap).alias("pos"), F.array_append(state["out"], state["pos"]).alias("out")
-        )
+    """Offsets of consecutive pieces that are gap characters apart.
+
+    Appending copies an array at each step, so many pieces are summed in blocks of a few first.
+    """
+    def placed(lengths: Column) -> Column:
+        n = F.size(lengths)
+        width = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda b: _running(F.slice(lengths, b * width + 1, width)))
+
+        def joined(parts: Column) -> Column:
+            firsts = _running(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return let(firsts, lambda at: F.flatten(F.transform(parts, lambda p, b: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + F.get(at, b)))))
+
+        short = let(_running(lengths), lambda r: F.slice(r, 1, n))
+        return F.when(n < 64, short).otherwise(let(blocks, joined))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+    return let(F.transform(pieces, lambda p: F.length(p) + gap), placed)
 
 
 def logical_lines(text: Column) -> Column:

@@ -131,12 +131,14 @@ def lost_identifiers(source: Column, rewrite: Column) -> Column:
     return let(F.transform(identifiers(rewrite), one_space), against)
 
 
-def compare(pairs: DataFrame, id_col: str = "pair_id", source_col: str = "source", rewrite_col: str = "rewrite") -> DataFrame:
+def compare(pairs: DataFrame, id_col: str = "pair_id", source_col: str = "source", rewrite_col: str = "rewrite", keep: list[str] | None = None) -> DataFrame:
     """One row per pair: words of both, findings, critical, warnings, faithful. Narrow: no shuffle."""
     s, r = F.col("_s"), F.col("_r")
-    base = pairs.select(id_col, strip_front_matter(F.col(source_col)).alias("_s"), strip_front_matter(F.col(rewrite_col)).alias("_r"))
+    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])]
+    names = [f"_k{i}" for i in range(len(kept))]
+    base = pairs.select(id_col, *kept, strip_front_matter(F.col(source_col)).alias("_s"), strip_front_matter(F.col(rewrite_col)).alias("_r"))
     counted = base.select(
-        id_col, "_s", "_r", *[cue_count(s, c).alias(f"s_{c}") for c in CUES], *[cue_count(r, c).alias(f"r_{c}") for c in CUES],
+        id_col, *names, "_s", "_r", *[cue_count(s, c).alias(f"s_{c}") for c in CUES], *[cue_count(r, c).alias(f"r_{c}") for c in CUES],
         lost_numbers(s, r).alias("_n"), lost_identifiers(s, r).alias("_i"),
     )
 
@@ -165,17 +167,17 @@ def compare(pairs: DataFrame, id_col: str = "pair_id", source_col: str = "source
         F.transform("_i", lambda x: finding("identifier", "critical", F.concat(x, F.lit(" is missing")))),
         cues,
     )
-    done = counted.select(id_col, unicode_words(s).alias("source_words"), unicode_words(r).alias("rewrite_words"), found.alias("findings"))
+    done = counted.select(id_col, *names, unicode_words(s).alias("source_words"), unicode_words(r).alias("rewrite_words"), found.alias("findings"))
     critical = F.size(F.filter("findings", lambda x: x["severity"] == "critical"))
     return done.select(
-        id_col, "source_words", "rewrite_words", "findings", critical.alias("critical"),
+        id_col, *[F.col(n).alias(c) for n, c in zip(names, keep or [])], "source_words", "rewrite_words", "findings", critical.alias("critical"),
         (F.size("findings") - critical).alias("warnings"), (critical == 0).alias("faithful"),
     )
 
 
 def gate_fix(drafts: DataFrame, id_col: str, draft_col: str, fixed_col: str) -> DataFrame:
     """The fix where it lost nothing against the draft, else the draft; and whether it was taken."""
-    kept = compare(drafts, id_col, draft_col, fixed_col).select(id_col, "critical")
-    return drafts.join(kept, id_col).select(
+    others = [c for c in drafts.columns if c != id_col]
+    return compare(drafts, id_col, draft_col, fixed_col, keep=others).select(
         *drafts.columns, F.when(F.col("critical") > 0, F.col(draft_col)).otherwise(F.col(fixed_col)).alias("gated"), (F.col("critical") == 0).alias("fix_taken")
     )

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What switches, what asks, and what names something to be written.
-COMMAND = r"(?i)^\s*/plain(?:\s+(\S+))?\s*$"
-OFF = r"(?i)\b(?:stop|disable|turn off|deactivate)\b.{0,20}\b(?:plain english|plain mode)\b|\bnormal mode\b"
-ON = r"(?i)\b(?:use|enable|turn on|activate|switch to)\b.{0,20}\b(?:plain english|plain mode)\b"
+COMMAND = r"(?i)^\s*/plain(?:\s+(\S+))?"
+OFF = r"(?i)\b(?:stop|disable|turn off|deactivate)\b.{0,20}\b(?:plain english|plain mode)\b|\bnormal mode\b|\bplain (?:english|mode) off\b"
+ON = r"(?i)\b(?:start|use|enable|turn on|activate|switch to)\b.{0,20}\b(?:plain english|plain mode)\b|\bcontrolled english\b"
 QUESTION = r"(?i)\b(?:what|which|how|why|when|is|does|can)\b[^?]*\?"
-ARTIFACTS = "readme|runbook|changelog|documentation|release notes|user guide|docstring|commit message|incident report|migration guide".split("|")
+ARTIFACTS = (
+    "release note|release notes|changelog|runbook|playbook|incident report|postmortem|post-mortem|error message|error text|"
+    "user-facing message|documentation|docs page|readme|api docs|man page|help text|onboarding guide|migration guide"
+).split("|")
 
 
 def names_artifact(prompt: Column, more: list[str] | None = None) -> Column:

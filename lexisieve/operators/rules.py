@@ -266,8 +266,8 @@ def _stacked_hedges(s: Column, v: Vocabulary) -> Column:
     return F.when(F.rlike(s, F.lit(any_of(list(v.hedges)))), _once("L1", F.size(present) > 1, message)).otherwise(nothing())
 
 
-def sentence_findings(s: Column, in_list: Column, v: Vocabulary, kind: Column | None = None) -> Column:
-    """All findings of one sentence: array of (rule, message, at)."""
+def sentence_findings(s: Column, in_list: Column, v: Vocabulary, kind: Column | None = None, rules: set[str] | None = None) -> Column:
+    """The findings of one sentence: array of (rule, message, at). Tests of rules not asked for are not built."""
     n = word_count(s)
     instruction = is_instruction(s, kind)
     words = F.concat(n.cast("string"), F.lit(" words"))
@@ -284,34 +284,35 @@ def sentence_findings(s: Column, in_list: Column, v: Vocabulary, kind: Column |
     key_words = F.flatten(
         F.array(*[_found(rule, first_match(s, rx), _said(text)) for rule, rx, text in KEY_TESTS])
     )
-    return F.flatten(
-        F.array(
-            _once("N1", instruction & (n > MOST_INSTRUCTION), F.concat(F.lit("an instruction of "), words)),
-            _once("N2", ~instruction & (n > MOST_DESCRIPTION), F.concat(F.lit("a description of "), words)),
-            _found("N3", matches(s, CONTRACTION), _said("is a contraction")),
-            _found("P1", first_match(F.trim(s), OPENER, 1), _said("is no command")),
-            _found("S4", inflected, _said("is an inflected identifier")),
-            _found("G10", first_match(s, GENDERED), _said("is gendered: confirm it")),
-            _once("X1", F.contains(s, F.lit(";")), F.lit("a semicolon"), F.instr(s, ";") - 1),
-            _once("X5", F.rlike(s, F.lit("[—–]")) & (n > DASH_WORDS) & ~in_list, F.lit("a dash joins clauses"), F.regexp_instr(s, F.lit("[—–]")) - 1),
-            F.when(instruction, _found("G1", matches(s, PASSIVE), _said("is passive"))).otherwise(nothing()),
-            _found("G4", matches(s, PERFECT), _said("is perfect tense")),
-            _found("G5", matches(s, STACKED), _said("stacks auxiliaries")),
-            F.when(F.rlike(s, F.lit(ING_VERB)), _found("G6", ing, _said("is an -ing main verb"))).otherwise(nothing()),
-            _found("G7", matches(s, LIGHT_VERB), _said("is a nominalization")),
-            F.when(F.rlike(s, F.lit(NOMINAL_OF)), _found("G7", nominal, _said("is a nominalization"))).otherwise(nothing()),
-            _adjective_rules(s),
-            _phrases("G8", s, list(v.phrasal), text="is a phrasal verb"),
-            _phrases("V8", s, list(v.latin), keep=acronym, text="is a Latin abbreviation"),
-            _phrases("V7", s, list(v.british), text="is British spelling"),
-            _phrases("V9", s, list(v.marketing), text="is a marketing adjective"),
-            _once("V10", F.rlike(s, F.lit(SHOULD)), F.lit("'should' is ambiguous"), F.regexp_instr(s, F.lit(SHOULD)) - 1),
-            _noun_runs(s),
-            F.when(F.rlike(s, F.lit(ANY_KEY)), key_words).otherwise(nothing()),
-            _vocabulary_rules(s, v),
-            _stacked_hedges(s, v),
-        )
-    )
+    tests = [
+        ("N1", _once("N1", instruction & (n > MOST_INSTRUCTION), F.concat(F.lit("an instruction of "), words))),
+        ("N2", _once("N2", ~instruction & (n > MOST_DESCRIPTION), F.concat(F.lit("a description of "), words))),
+        ("N3", _found("N3", matches(s, CONTRACTION), _said("is a contraction"))),
+        ("P1", _found("P1", first_match(F.trim(s), OPENER, 1), _said("is no command"))),
+        ("S4", _found("S4", inflected, _said("is an inflected identifier"))),
+        ("G10", _found("G10", first_match(s, GENDERED), _said("is gendered: confirm it"))),
+        ("X1", _once("X1", F.contains(s, F.lit(";")), F.lit("a semicolon"), F.instr(s, ";") - 1)),
+        ("X5", _once("X5", F.rlike(s, F.lit("[—–]")) & (n > DASH_WORDS) & ~in_list, F.lit("a dash joins clauses"), F.regexp_instr(s, F.lit("[—–]")) - 1)),
+        ("G1", F.when(instruction, _found("G1", matches(s, PASSIVE), _said("is passive"))).otherwise(nothing())),
+        ("G4", _found("G4", matches(s, PERFECT), _said("is perfect tense"))),
+        ("G5", _found("G5", matches(s, STACKED), _said("stacks auxiliaries"))),
+        ("G6", F.when(F.rlike(s, F.lit(ING_VERB)), _found("G6", ing, _said("is an -ing main verb"))).otherwise(nothing())),
+        ("G7", _found("G7", matches(s, LIGHT_VERB), _said("is a nominalization"))),
+        ("G7", F.when(F.rlike(s, F.lit(NOMINAL_OF)), _found("G7", nominal, _said("is a nominalization"))).otherwise(nothing())),
+        ("G11 G12", _adjective_rules(s)),
+        ("G8", _phrases("G8", s, list(v.phrasal), text="is a phrasal verb")),
+        ("V8", _phrases("V8", s, list(v.latin), keep=acronym, text="is a Latin abbreviation")),
+        ("V7", _phrases("V7", s, list(v.british), text="is British spelling")),
+        ("V9", _phrases("V9", s, list(v.marketing), text="is a marketing adjective")),
+        ("V10", _once("V10", F.rlike(s, F.lit(SHOULD)), F.lit("'should' has two readings"), F.regexp_instr(s, F.lit(SHOULD)) - 1)),
+        ("N5", _noun_runs(s)),
+        ("K1 K2", F.when(F.rlike(s, F.lit(ANY_KEY)), key_words).otherwise(nothing())),
+        ("V3 L2", _vocabulary_rules(s, v)),
+        ("L1", _stacked_hedges(s, v)),
+    ]
+    wanted = [test for names, test in tests if rules is None or rules & set(names.split())]
+    out = F.flatten(F.array(*wanted)) if wanted else nothing()
+    return out if rules is None else F.filter(out, lambda f: f["rule"].isin(*rules))
 
 
 def paragraph_findings(paragraph: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.segment import plain_sentences
 from ..functions.text import column_of, line_of, word_count
 from ..functions.mask import mask, INLINE_CODE, URL, prose
-from ..operators.findings import findings, sentence_rows
+from ..operators.findings import findings, sentence_rows, totals
 from ..operators import rules as R
 from ..operators.report import clean_sentence_rate, enclosing_sentence
 from ..sources.vocabulary import OWN, RULES
@@ -102,6 +102,8 @@ KEYS = {
     "K2": _has(rf"(?:{R.MODAL_KEY})(?:\s+NOT)?\s+(?:be|been)", "") + " + " + _has(rf"(?:is|are|was|were|it is|It is)\s+(?:{R.ADJECTIVE_KEY})", ""),
 }
 _KEYED = _has(rf"(?:{R.KEY})", "")
+#: Every rule of a single sentence with its SQL; a key word rule counts where a key word stands.
+SENTENCE_RULES = {**LITERAL, **PHRASES, **VOCABULARY, **{r: f"CASE WHEN {_KEYED} = 1 THEN {sql} ELSE 0 END" for r, sql in KEYS.items()}}
 DOUBLED = rf"doubled AS (SELECT *, regexp_replace(s, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS d FROM sent)"
 
 
@@ -114,9 +116,7 @@ def _rule_sql(rules: dict[str, str], where: str = "") -> str:
 
 
 def rule_counts(spark: SparkSession, sf_dir: str, rules: list[str] | None = None) -> DataFrame:
-    found = findings(spark, mutated(spark, sf_dir))
-    if rules:
-        found = found.where(F.col("rule").isin(*rules))
+    found = findings(spark, mutated(spark, sf_dir), rules=rules)
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
@@ -176,19 +176,14 @@ _WEIGHTS = ", ".join(f"('{r}', {w})" for r, _, w, _ in RULES)
 
 
 def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, sentences, findings of the literal rules, their weight and rate, by document."""
-    docs = mutated(spark, sf_dir)
-    rows = sentence_rows(docs).groupBy("doc_id").agg(F.sum("words").alias("words"), F.count("*").alias("sentences"))
-    found = findings(spark, docs).where(F.col("rule").isin(*LITERAL)).groupBy("doc_id").agg(F.count("*").alias("total"), F.sum("weight").alias("weighted"))
-    total = F.coalesce("total", F.lit(0))
-    return rows.join(found, "doc_id", "left").select(
-        "doc_id", F.col("words").cast("bigint").alias("words"), "sentences", total.alias("total"), F.round(F.coalesce("weighted", F.lit(0.0)), 1).alias("weighted"),
-        F.when(F.col("words") > 0, F.round(total * 100.0 / F.col("words"), 2)).otherwise(0.0).cast("double").alias("per_100w"),
-    )
+    """Words, sentences, findings of all rules of single sentences that SQL restates, their weight and rate, by document."""
+    done = totals(mutated(spark, sf_dir), list(SENTENCE_RULES))
+    rate = F.when(F.col("words") > 0, F.round(F.col("total") * 100.0 / F.col("words"), 2)).otherwise(0.0).cast("double")
+    return done.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("words", "sentences", "total")], F.round("weighted", 1).alias("weighted"), rate.alias("per_100w"))
 
 
 SUMMARY_SQL = f"""WITH {SENTENCES_SQL}, {DOUBLED}, weights(rule, w) AS (VALUES {_WEIGHTS}),
-hits AS ({' UNION ALL '.join(f"SELECT '{r}' AS rule, doc_id, ({sql})::BIGINT AS n FROM doubled" for r, sql in LITERAL.items())}),
+hits AS ({' UNION ALL '.join(f"SELECT '{r}' AS rule, doc_id, ({sql})::BIGINT AS n FROM doubled" for r, sql in SENTENCE_RULES.items())}),
 found AS (SELECT doc_id, sum(n)::BIGINT AS total, sum(n * w::DOUBLE) AS weighted FROM hits JOIN weights USING (rule) WHERE n > 0 GROUP BY doc_id),
 base AS (SELECT doc_id, sum({N})::BIGINT AS words, count(*)::BIGINT AS sentences FROM sent GROUP BY doc_id)
 SELECT doc_id, words, sentences, coalesce(total, 0)::BIGINT AS total, round(coalesce(weighted, 0.0), 1)::DOUBLE AS weighted,
@@ -196,15 +191,15 @@ CASE WHEN words > 0 THEN round(coalesce(total, 0) * 100.0::DOUBLE / words, 2) EL
 
 
 def clean_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The as-of join of X1 and G10 findings to their sentences, and the clean share."""
+    """The as-of join of marks to their sentences, and the share of sentences without a finding."""
     docs = mutated(spark, sf_dir)
     rows = sentence_rows(docs)
-    hits = rows.where(F.contains("sentence", F.lit(";")) | F.rlike("sentence", F.lit(R.GENDERED)))
+    hits = rows.where(F.size(R.sentence_findings(F.col("sentence"), F.col("in_list"), OWN, rules=set(SENTENCE_RULES))) > 0)
     marks = hits.select("doc_id", (F.col("offset") + F.length("sentence") - 1).alias("at"), F.lit("any").alias("rule"))
     return clean_sentence_rate(enclosing_sentence(marks, rows), rows)
 
 
-CLEAN_SQL = f"""WITH {SENTENCES_SQL}, marked AS (SELECT doc_id, ({LITERAL['X1']} + {LITERAL['G10']} > 0)::INT AS bad FROM sent)
+CLEAN_SQL = f"""WITH {SENTENCES_SQL}, {DOUBLED}, marked AS (SELECT doc_id, ({' + '.join(f"({sql})" for sql in SENTENCE_RULES.values())} > 0)::INT AS bad FROM doubled)
 SELECT doc_id, count(*)::BIGINT AS sentences, sum(bad)::BIGINT AS dirty, round(1 - sum(bad)::DOUBLE / count(*), 4) AS clean FROM marked GROUP BY doc_id"""
 
 
