@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rule, severity, weight, whether a judge must confirm it.
@@ -79,81 +80,156 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
 
 
-def uncommented(line: Column) -> Column:
-    """A line up to a # that starts it or follows a blank, outside quotes."""
-    return F.rtrim(F.regexp_extract(line, r"""^((?:[^#"']|"[^"]*"?|'[^']*'?|(?<=\S)#)*)""", 1))
+@dataclass(frozen=True)
+class Entry:
+    """A value of a word list: line, section, entry of the section (0 before the first), field, value, whether a list item."""
 
+    n: int
+    section: str
+    entry: int
+    field: str
+    value: str
+    item: bool
 
-def _unquoted(value: Column) -> Column:
-    return F.regexp_replace(F.trim(value), r"""^(["'])(.*)\1$""", "$2")
 
+_KEY = re.compile(r"""("[^"]*"|'[^']*'|[^\s"'\[{#-][^\[{]*?|-[^\s].*?):(?:\s+(.*))?$""")
+_COMMENT = re.compile(r"""(?:[^#"']|"[^"]*"?|'[^']*'?|(?<=\S)#)*""")
 
-def _flow(value: Column) -> Column:
-    """The entries of [a, b, "c d"]."""
-    inner = F.regexp_extract(value, r"\[(.*?)\]?\s*$", 1)
-    return F.filter(F.transform(F.split(inner, r"\s*,\s*"), lambda x: F.lower(_unquoted(x))), lambda x: x != "")
 
+def _bare(value: str) -> str:
+    value = value.strip()
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
 
-def entry_table(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of the entries of a word list: (section, entry, field, value, n).
 
-    A section is an unindented key; an entry starts at '- key:'; a dash under a field adds to
-    its list. Values stay text. Later rows win where a phrase is given twice.
+def _listed(flow: str) -> list[str]:
+    """The items of [a, b, "c, d"]; what stands behind the bracket does not count."""
+    inner = flow.strip()[1:].split("]", 1)[0]
+    return [x for x in (_bare(m) for m in re.findall(r"""\s*("[^"]*"|'[^']*'|[^,]+)""", inner)) if x]
+
+
+def read_entries(text: str) -> list[Entry]:
+    """All values of a word list: a subset of YAML, of sections that hold lists, maps or entries of fields.
+
+    A section is a key without indentation. A dash before a key starts an entry; a dash before
+    anything else is an item of the field above it, or of the section. Values are plain, quoted,
+    flow lists (over several lines too) or block scalars, whose lines are joined by blanks. A # is a
+    comment where it starts a line or follows a blank, outside quotes.
     """
-    lines = _numbered(spark, path).withColumn("line", uncommented(F.col("line"))).where(F.trim("line") != "")
-    at = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.regexp_extract("line", r"^([A-Za-z_]+):", 1)
-    opens = F.rlike("line", F.lit(r"^\s*- [A-Za-z_]+:"))
-    key = F.regexp_extract("line", r"^\s*(?:- )?([A-Za-z_]+):", 1)
-    item = F.regexp_extract("line", r"^\s*- (?![A-Za-z_]+:\s)(.*)$", 1)
-    value = F.regexp_extract("line", r"^\s*(?:- )?[A-Za-z_]+:\s*(.*)$", 1)
-    return lines.select(
-        "n",
-        F.last(F.when(section != "", section), True).over(at).alias("section"),
-        F.sum(opens.cast("int")).over(at).alias("entry"),
-        F.last(F.when(key != "", key), True).over(at).alias("field"),
-        F.when(key != "", value).otherwise(item).alias("value"),
-        (key == "").alias("is_item"),
-    ).where(F.col("value") != "")
+    out: list[Entry] = []
+    section, entry, field, depth = "", 0, "", 0
+    flow: list[str] | None = None
+    block: list[str] | None = None
+
+    def put(n: int, value: str, item: bool = False) -> None:
+        out.append(Entry(n, section, entry, field, value, item))
+
+    for n, raw in enumerate(text.split("\n")):
+        line = _COMMENT.match(raw.rstrip("\r")).group(0).rstrip()
+        bare, indent = line.strip(), len(line) - len(line.lstrip())
+        if block is not None:
+            if not raw.strip() or len(raw) - len(raw.lstrip()) > depth:
+                block.append(raw.strip())
+                continue
+            put(n, " ".join(x for x in block if x))
+            block = None
+        if not bare:
+            continue
+        if flow is not None:
+            flow.append(bare)
+            if "]" in bare:
+                for x in _listed(" ".join(flow)):
+                    put(n, x, True)
+                flow = None
+            continue
+        opens = bare.startswith("- ")
+        body = bare[2:].lstrip() if opens else bare
+        key = _KEY.match(body)
+        if opens and not key:
+            for x in _listed(body) if body.startswith("[") else [_bare(body)]:
+                put(n, x, True)
+            continue
+        if not key:
+            continue
+        name, value = _bare(key.group(1)), (key.group(2) or "").strip()
+        if indent == 0 and not opens:
+            section, entry, field = name, 0, ""
+            if not value:
+                continue
+        else:
+            entry += opens
+            field = name
+        if not value:
+            continue
+        if value[0] in ">|":
+            block, depth = [], indent + len(bare) - len(body)
+        elif value.startswith("[") and "]" not in value:
+            flow = [value]
+        elif value.startswith("["):
+            for x in _listed(value):
+                put(n, x, True)
+        else:
+            put(n, _bare(value))
+    if block is not None:
+        put(len(text.split("\n")), " ".join(x for x in block if x))
+    return out
+
+
+def _text_of(spark: SparkSession, path: str) -> str:
+    """A dimension file as one text, through Spark's readers."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def load_vocabulary(spark: SparkSession, words_path: str, terms_path: str | None = None) -> Vocabulary:
-    """A vocabulary from a word list (and a term list); dimension tables, so the driver may hold them."""
-    rows = entry_table(spark, words_path)
-    words = rows.where(F.col("section") == "words")
-    heads = words.where((F.col("field") == "word") & ~F.col("is_item")).select("entry", F.lower(_unquoted(F.col("value"))).alias("word"))
-    listed = words.where(F.col("field") == "instead_of").select(
-        "entry", "n", F.explode(F.when(F.startswith("value", F.lit("[")), _flow(F.col("value"))).otherwise(F.array(F.lower(_unquoted(F.col("value")))))).alias("phrase")
-    )
-    latest = Window.partitionBy("phrase").orderBy(F.desc("n"))
-    routed = (
-        listed.join(F.broadcast(heads), "entry").withColumn("r", F.row_number().over(latest)).where("r = 1")
-        .select("phrase", F.when(F.col("word") != "null", F.col("word")).alias("replacement"), "n")
+def entry_table(spark: SparkSession, path: str) -> DataFrame:
+    """Fields of the entries of a word list in order: (place, n, section, entry, field, value, is_item); n is the line."""
+    rows = [(k, e.n, e.section, e.entry, e.field, e.value, e.item) for k, e in enumerate(read_entries(_text_of(spark, path)))]
+    return spark.createDataFrame(rows, "place int, n int, section string, entry int, field string, value string, is_item boolean")
+
+
+def word_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(n, word, field, values): all fields of the approved words in order; words that are null are no entries."""
+    rows = entry_table(spark, path).where("section = 'words'")
+    heads = rows.where("field = 'word' and not is_item and value <> 'null'").select("entry", F.col("value").alias("word"))
+    fields = rows.where("field <> 'word'").groupBy("entry", "field").agg(
+        F.min("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values")
     )
-    approved = heads.where("word <> 'null'").select("word").distinct()
-    routed = routed.join(approved, routed["phrase"] == approved["word"], "left_anti").orderBy("n")
-    maps: dict[str, dict] = {}
-    for kind in ("phrasal", "latin", "british"):
-        pairs = rows.where(F.col("section").startswith(kind) & ~F.col("is_item")).orderBy("n").select("field", "value")
-        maps[kind] = {r["field"].lower(): r["value"].strip("\"'") for r in pairs.toLocalIterator()}
-    sets: dict[str, frozenset] = {}
-    for kind in ("marketing", "hedges", "frames"):
-        entries = rows.where(F.col("section").startswith(kind)).select(
-            F.explode(F.when(F.startswith("value", F.lit("[")), _flow(F.col("value"))).otherwise(F.array(F.lower(_unquoted(F.col("value")))))).alias("v")
-        )
-        sets[kind] = frozenset(r["v"] for r in entries.toLocalIterator())
-    nouns, verbs = frozenset(), frozenset()
-    if terms_path:
-        terms = entry_table(spark, terms_path)
-        tokens = terms.select("section", "field", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z][a-z-]*"), F.lit(0))).alias("t"))
-        nouns = frozenset(r["t"] for r in tokens.where("section = 'common_nouns'").select("t").distinct().toLocalIterator())
-        verbs = frozenset(r["t"] for r in tokens.where("field = 'verbs'").select("t").distinct().toLocalIterator())
+    return fields.join(heads, "entry").select("n", "word", "field", "values")
+
+
+def load_vocabulary(spark: SparkSession, words_path: str, terms_path: str | None = None) -> Vocabulary:
+    """A vocabulary from a word list (and a term list); dimension tables, so the driver may hold them.
+
+    A later entry wins where a phrase is given twice; a phrase that is itself approved is no route.
+    """
+    rows = read_entries(_text_of(spark, words_path))
+    heads = {e.entry: e.value.lower() for e in rows if e.section == "words" and e.field == "word" and not e.item}
+    routes: dict[str, str | None] = {}
+    for e in rows:
+        if e.section == "words" and e.field == "instead_of" and e.entry in heads:
+            word = heads[e.entry]
+            routes[e.value.lower()] = None if word == "null" else word
+    approved = frozenset(w for w in heads.values() if w != "null")
+
+    def mapped(part: str) -> dict[str, str]:
+        return {e.field.lower(): e.value for e in rows if part in e.section and e.field and not e.item}
+
+    def listed(part: str) -> frozenset[str]:
+        return frozenset(e.value.lower() for e in rows if part in e.section and e.item)
+
+    terms = read_entries(_text_of(spark, terms_path)) if terms_path else []
     return Vocabulary(
-        instead_of={r["phrase"]: r["replacement"] for r in routed.toLocalIterator()}, term_nouns=nouns, term_verbs=verbs,
-        approved=frozenset(r["word"] for r in approved.toLocalIterator()), **maps, **sets,
+        instead_of={p: w for p, w in routes.items() if p not in approved}, approved=approved,
+        phrasal=mapped("phrasal"), latin=mapped("latin"), british=mapped("british"),
+        marketing=listed("marketing"), hedges=listed("hedges"), frames=listed("frames"),
+        term_nouns=frozenset(e.value.lower() for e in terms if e.section == "common_nouns" and e.item),
+        term_verbs=frozenset(e.value.lower() for e in terms if e.field == "verbs"),
     )
 
 
+def term_words(vocabulary: Vocabulary) -> frozenset[str]:
+    """The single words of all terms, for lookups of words."""
+    return frozenset(w for t in vocabulary.term_nouns | vocabulary.term_verbs for w in re.findall(r"[a-z][a-z'-]*", t))
+
+
 def load_weights(spark: SparkSession, path: str) -> DataFrame:
     """rule, weight: without blank rules and rules that have none."""
     raw = spark.read.option("header", True).csv(path)

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from lexisieve.plans import rule_queries, text_queries
+from lexisieve.plans import rule_queries, run_queries, text_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = {**rule_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**rule_queries.ORACLES, **text_queries.ORACLES}
+QUERIES = {**rule_queries.QUERIES, **text_queries.QUERIES, **run_queries.QUERIES}
+ORACLES = {**rule_queries.ORACLES, **text_queries.ORACLES, **run_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")
