@@ -79,6 +79,18 @@ def number_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("unit").agg(F.count("*").alias("numbers"), F.countDistinct("value").alias("values"))
 
 
+_UNIT_RE = "|".join(u.replace("%", "%%") for u in fidelity._UNITS)
+_UNIT_ROWS = ", ".join(f"({q(u)}, {q(name)})" for name, names in fidelity.UNIT_NAMES.items() for u in names.split())
+_DIGITS_RE = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_.])(\p{{Nd}}+(?:(?:\.\.|,,)\p{{Nd}}+)*)(?:[\s\p{{Z}}]*({_UNIT_RE}))?(?:$|[^\p{{L}}\p{{N}}_])"
+_WORDS_RE = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])({'|'.join(fidelity.NUMBER_WORDS)})(?:[\s\p{{Z}}]*({_UNIT_RE}))?(?:$|[^\p{{L}}\p{{N}}_])"
+# every boundary character is doubled, so that one can end a number and the other begin the next
+NUMBER_COUNTS_SQL = f"""WITH {PAIRS_SQL}, d AS (SELECT regexp_replace(source, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') AS d FROM pairs),
+hits AS (SELECT replace(replace(unnest(regexp_extract_all(d, {q(_DIGITS_RE)}, 1)), ',,', ''), '..', '.') AS value, unnest(regexp_extract_all(d, {q(_DIGITS_RE)}, 2)) AS u FROM d
+UNION ALL SELECT list_position([{', '.join(q(w) for w in fidelity.NUMBER_WORDS)}], lower(unnest(regexp_extract_all(d, {q(_WORDS_RE)}, 1))))::VARCHAR, unnest(regexp_extract_all(d, {q(_WORDS_RE)}, 2)) FROM d),
+named(u, name) AS (VALUES {_UNIT_ROWS}), plain AS (SELECT value, replace(lower(u), '%%', '%') AS u FROM hits)
+SELECT coalesce(name, u, '') AS unit, count(*)::BIGINT AS numbers, count(DISTINCT value)::BIGINT AS values FROM plain LEFT JOIN named USING (u) GROUP BY 1"""
+
+
 def identifier_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = pairs(spark, sf_dir).select("pair_id", F.explode(fidelity.lost_identifiers(F.col("source"), F.col("rewrite"))).alias("identifier"))
     return lost.groupBy("identifier").agg(F.count("*").alias("pairs"))
@@ -430,7 +442,7 @@ QUERIES = {
     "avoid_index": avoid_index, "page_excerpts": page_excerpts, "mode_states": mode_states, "artifact_trigger": artifact_trigger,
 }
 ORACLES = {
-    "cue_counts": CUES_SQL, "number_loss": NUMBERS_SQL, "identifier_loss": IDENTIFIERS_SQL, "fidelity_verdict": VERDICT_SQL, "fix_gate": GATE_SQL,
+    "cue_counts": CUES_SQL, "number_loss": NUMBERS_SQL, "number_counts": NUMBER_COUNTS_SQL, "identifier_loss": IDENTIFIERS_SQL, "fidelity_verdict": VERDICT_SQL, "fix_gate": GATE_SQL,
     "coverage": COVERAGE_SQL, "unknown_words_topk": UNKNOWN_SQL, "term_clusters": CLUSTERS_SQL, "readability_scores": SCORES_SQL,
     "series_thirds": THIRDS_SQL, "series_slope": SLOPE_SQL, "arm_pivot": PIVOT_SQL, "conforming_share": SHARE_SQL, "summary_stats": STATS_SQL,
     "overview_totals": OVERVIEW_SQL, "word_table": WORDS_SQL, "judge_votes": VOTES_SQL, "judge_overlap": OVERLAP_SQL, "judge_rejections": REJECTIONS_SQL,
