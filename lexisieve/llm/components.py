@@ -13,7 +13,8 @@ def connected_components(ws: Workspace, edges: DataFrame, label: str) -> DataFra
 
     In each round a node points to its smallest neighbour (or itself), pointers are followed
     twice, and the edges between pointed-at nodes are what is left for the next round. A star
-    is done in one round, a chain of n nodes in about log4(n). Tables are written each round.
+    is done in one round, a chain of n nodes in about log4(n). Tables are written each round, so that
+    both sides of a join stand right behind their shuffles and the rows of one hub can be split.
     """
     least = ws.save(
         edges.where(F.col("a") != F.col("b"))

@@ -9,13 +9,18 @@ the intersection is at least 75 times the union, on full sets.
 2. Copies. Documents with equal sets collapse into their smallest id before anything is
    compared, with map-side partial aggregation.
 3. Banding. 32 bands of 4 coordinates: a pair at 0.75 is missed with probability 6e-6. In a
-   bucket, signatures are compared in blocks (a bucket over BLOCK rows becomes pairs of
-   blocks), and a block yields a spanning forest, never its pairs. A pair goes on at 70 of 128
-   agreeing coordinates, over 5 standard deviations below what 0.75 gives.
+   bucket, signatures are compared in blocks, and a block yields a spanning forest, never its
+   pairs. A pair goes on at 70 of 128 agreeing coordinates, over 5 standard deviations below
+   what 0.75 gives.
 4. Confirmation. Components of the pairs that go on are read again as full sets, blockwise,
    and every pair in a block is decided exactly (one incidence product); again a block
    yields a spanning forest of confirmed links. Their components are the result.
 
+A bucket or component of several blocks is first linked inside each block, every row once; then a
+few rows of each part so found meet, which joins the parts of one family; what still falls apart
+is compared across: all rows outside its largest part with all rows. So no pair that could join two
+parts is left out, and a family of near copies costs its rows and not the square of its blocks.
+
 Shingles are compared by 64-bit hashes of their words. Rows with a null id are returned with
 a null component, kept. Rows that repeat an id are one document with several texts. Null and
 empty texts are components of their own. An empty table gives no rows; other columns are
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Spans, Texts, Workspace, ids_type, mix64, shingle_hashes, slices
@@ -282,22 +287,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         "reps",
     )
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = banded.join(shared, "key").join(reps.select("rep", "sig"), "rep").withColumn("nb", blocks)
-    forest = ws.save(_by_block(met, "key", ["rep", "sig"]).mapInArrow(_bucket_links, f"a {kind}, b {kind}").distinct(), "likely")
+    shared = ws.save(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "shared")
+    met = banded.join(shared, "key").join(reps.select("rep", "sig"), "rep").withColumn("load", F.lit(1.0 / BLOCK))
+    forest = _forest(ws, met, shared, ["rep", "sig"], _bucket_links, kind, "likely")
     coarse = ws.save(connected_components(ws, forest, "coarse"), "coarse")
-    sizes = (
-        coarse.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
-        .groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
-        .withColumn("nb", F.greatest(F.ceil(F.col("m") / SET_BLOCK_ROWS), F.ceil(F.col("s") / SET_BLOCK_SHINGLES)).cast("int"))
-    )
-    placed = coarse.join(sizes.select("component", "nb"), "component").withColumnRenamed("node", "rep")
-    read = named.withColumnRenamed("doc_id", "rep").join(placed, "rep").withColumnRenamed("component", "key")
-    links = ws.save(_by_block(read, "key", ["rep", "text"]).mapInArrow(_confirmed, f"a {kind}, b {kind}"), "links")
+    load = F.greatest(F.lit(1.0 / SET_BLOCK_ROWS), F.col("n_shingles") / F.lit(float(SET_BLOCK_SHINGLES)))
+    loaded = coarse.join(reps.select(F.col("rep").alias("node"), load.alias("load")), "node")
+    sizes = ws.save(loaded.groupBy(F.col("component").alias("key")).agg(F.ceil(F.sum("load")).cast("int").alias("nb")), "sizes")
+    placed = loaded.withColumnsRenamed({"node": "rep", "component": "key"}).join(sizes, "key")
+    read = named.withColumnRenamed("doc_id", "rep").join(placed, "rep")
+    links = _forest(ws, read, sizes, ["rep", "text"], _confirmed, kind, "links")
     exact = connected_components(ws, links, "exact").withColumnRenamed("node", "rep")
     named_sets = reps.select(*set_key, "rep").join(exact, "rep", "left")
-    named_sets = named_sets.select(*set_key, F.coalesce("component", "rep").alias("component"))
+    # written, so that both sides of the join stand right behind their shuffles: adaptive execution
+    # then splits the rows of one large group of copies
+    named_sets = ws.save(named_sets.select(*set_key, F.coalesce("component", "rep").alias("component")), "named")
+    ws.drop("shared", "coarse", "sizes", "reps")
     out = feats.select("doc_id", *set_key).join(named_sets, set_key, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -305,16 +310,61 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     )
 
 
-def _by_block(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of each key dealt into nb blocks, so that every two blocks meet in one place."""
-    block = F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int")
-    partner = F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = (
-        df.withColumn("_block", block).withColumn("_with", partner)
-        .where((F.col("nb") == 1) | (F.col("_with") != F.col("_block")))
-        .select(F.col(key).alias("key"), F.least("_block", "_with").alias("bi"), F.greatest("_block", "_with").alias("bj"), *columns)
-    )
-    return dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+#: Rows of each part that meet those of the other parts of a bucket or component.
+HEADS = 4
+
+
+def _forest(ws: Workspace, rows: DataFrame, sizes: DataFrame, columns: list[str], compare, kind: str, label: str) -> DataFrame:
+    """Links (a, b) that join what a comparison of all rows of equal key would join, written.
+
+    rows has key, nb (blocks of the key), load (share of a block) and columns, of which rep names
+    a row; sizes has key and nb. compare takes sorted (key, bi, bj, *columns) to links.
+    """
+    def compared(some: DataFrame, first: Column, second: Column, part: str) -> DataFrame:
+        dealt = some.select("key", first.cast("int").alias("bi"), second.cast("int").alias("bj"), *columns)
+        laid = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+        return ws.save(laid.mapInArrow(compare, f"a {kind}, b {kind}").distinct(), f"{label}-{part}")
+
+    def block(of: str = "nb", seed: int = 0) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(of).cast("long"))
+
+    links = compared(rows, block(), block(), "alone")
+    wide_keys = sizes.where("nb > 1").select("key")
+    if wide_keys.isEmpty():
+        return links
+    wide = rows.join(wide_keys, "key", "left_semi")
+
+    def fallen_apart(step: str) -> DataFrame:
+        """The rows' parts, of keys that have several."""
+        parts = connected_components(ws, links, f"{label}-{step}").withColumnRenamed("node", "rep")
+        held = wide.select("key", "rep", "load").distinct().join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        held = ws.save(held, f"{label}-{step}-held")
+        some = held.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
+        return ws.save(held.join(some, "key"), f"{label}-{step}-parts")
+
+    def blocks_of(some: DataFrame, name: str) -> DataFrame:
+        return some.groupBy("key").agg(F.ceil(F.sum("load")).cast("int").alias(name))
+
+    parts = fallen_apart("first")
+    if parts.isEmpty():
+        return links
+    # row_number is limited in each task before the shuffle, so a large part stays small
+    by_part = Window.partitionBy("key", "component").orderBy(F.xxhash64("rep"), "rep")
+    heads = parts.withColumn("_r", F.row_number().over(by_part)).where(F.col("_r") <= HEADS).select("key", "rep", "load")
+    heads = heads.join(blocks_of(heads, "_n"), "key").drop("load")
+    links = links.unionAll(compared(rows.join(heads, ["key", "rep"]), block("_n", 1), block("_n", 1), "heads"))
+    parts = fallen_apart("second")
+    if parts.isEmpty():
+        return links
+    counts = parts.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("component"))
+    rest = parts.join(largest, ["key", "component"], "left_anti").select("key", "rep", "load")
+    sides = blocks_of(parts, "_na").join(blocks_of(rest, "_nr"), "key")
+    # blocks of the rest (_nr) meet blocks of all (_na): a row goes to each block of the other side
+    of_rest = rest.select("key", "rep").join(sides, "key").select("key", "rep", block("_nr", 2).alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("_j"))
+    of_all = parts.select("key", "rep").join(sides, "key").select("key", "rep", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)).alias("_i"), block("_na", 3).alias("_j"))
+    dealt = rows.join(of_rest.unionAll(of_all.select("key", "rep", F.col("_i").cast("long").alias("_i"), F.col("_j").cast("int").alias("_j"))).distinct(), ["key", "rep"])
+    return links.unionAll(compared(dealt, F.col("_i"), F.col("_j"), "across"))
 
 
 def near_duplicate_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,7 +204,7 @@ def groups(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [2048, 3, 1])
 def test_near_duplicates(spark, corpus, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "SET_BLOCK_ROWS", min(block, 1024))
