@@ -22,7 +22,8 @@ is compared across: all rows outside its largest part with all rows. So no pair
 parts is left out, and a family of near copies costs its rows and not the square of its blocks.
 
 Shingles are compared by 64-bit hashes of their words. Rows with a null id are returned with
-a null component, kept. Rows that repeat an id are one document with several texts. Null and
+a null component, kept. Rows that repeat an id are judged row by row, and told apart by text_key (a
+64-bit hash of the text); rows equal in both share their fate. Null and
 empty texts are components of their own. An empty table gives no rows; other columns are
 passed by.
 """
@@ -109,13 +110,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             binary = iter(sig)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(texts.first, n),
+                    batch.column(0).slice(texts.first, n), batch.column(2).slice(texts.first, n),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(hi.view(np.int64), mask=~has), pa.array(lo.view(np.int64), mask=~has),
                     pa.ListArray.from_arrays(pa.array(offsets * BANDS), pa.array(keys.view(np.int64).reshape(-1))),
                     pa.array([next(binary).tobytes() if h else None for h in has.tolist()], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "key_hi", "key_lo", "bands", "sig"],
+                names=["doc_id", "text_key", "n_shingles", "key_hi", "key_lo", "bands", "sig"],
             )
 
 
@@ -270,13 +271,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key."""
     ws = Workspace(spark, "minhash")
     named = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     kind = ids_type(named)
     feats = ws.save(
-        named.mapInArrow(
-            _features, f"doc_id {kind}, n_shingles long, key_hi long, key_lo long, bands array<long>, sig binary"
+        named.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            _features, f"doc_id {kind}, text_key long, n_shingles long, key_hi long, key_lo long, bands array<long>, sig binary"
         ),
         "features",
     )
@@ -303,11 +304,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # then splits the rows of one large group of copies
     named_sets = ws.save(named_sets.select(*set_key, F.coalesce("component", "rep").alias("component")), "named")
     ws.drop("shared", "coarse", "sizes", "reps")
-    out = feats.select("doc_id", *set_key).join(named_sets, set_key, "left")
+    out = feats.select("doc_id", "text_key", *set_key).join(named_sets, set_key, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key")
 
 
 #: Rows of each part that meet those of the other parts of a bucket or component.
@@ -368,7 +368,7 @@ def _forest(ws: Workspace, rows: DataFrame, sizes: DataFrame, columns: list[str]
 
 
 def near_duplicate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 #: Every pair that shares a shingle, decided exactly; for small tables.
