@@ -2,6 +2,12 @@
 
 Quality classifier, line dedup, MinHash near-dedup, substring dedup, packing. A stage's
 output is written as Parquet in the shared folder and read again as the next one's input.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and ids and an
+empty table. All but the last return the columns of documents and nothing else. Rows without an
+id pass all stages but the first, which scores them like any other. Null texts stay null; the
+first stage scores them as empty. Rows that repeat an id are judged row by row in the first and
+third stage and packed row by row; in line and substring dedup they are not compared with each other.
 """
 
 from __future__ import annotations
@@ -39,8 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    gone = near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    return docs.withColumn("_text_key", F.xxhash64("text")).join(gone, ["doc_id", "_text_key"], "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
