@@ -3,8 +3,9 @@
 One shuffle brings equal hashes together in order of document and place, and a pass over them links
 each row to the first, without a join and without holding a group. A hash that stands HEAVY times
 in one batch of rows is spread: the batch sends its first occurrence alone to the hash's place, and
-the others, put together, meet the answer in a salted join. So no task gets more than HEAVY rows
-of a hash from a batch.
+its other rows meet the answer in a second shuffle and pass, dealt over SALTS tasks a hash, each of
+which gets a copy of the answer. So no group lands in one task, nothing is joined in pairs, and each
+row gives one link at most.
 """
 
 from __future__ import annotations
@@ -66,15 +67,14 @@ def _marked_rows(find: Callable[[Texts], list[tuple[np.ndarray, np.ndarray]]], h
     return work
 
 
-_LINKED = ["doc_id", "source_id", "place", "source_place", "mark", "docs", "places"]
+_LINKED = ["doc_id", "source_id", "place", "source_place", "mark"]
 
 
 def _first_occurrences(across: bool):
     """Rows by key, doc_id, place -> links, and what is needed to link the rows of heavy hashes.
 
-    doc_id, source_id, place, source_place, mark, docs, places: a link has no mark; the first
-    occurrence of a heavy hash has no document; other rows of a heavy hash are put together, those
-    under one key in one row (docs and places, HEAVY at most from one batch of texts).
+    doc_id, source_id, place, source_place, mark: a link has no mark; the first occurrence of a
+    heavy hash has no document; other rows of a heavy hash have no source.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, (None, 0)
@@ -111,23 +111,48 @@ def _first_occurrences(across: bool):
                 if len(told):
                     parts.append((None, sources.take(pa.array(told)), source_places[told], source_places[told], k[told]))
                 key, first = k[-1], (source_ids[-1], source_places[-1])
+            if member.any():
+                rows = np.flatnonzero(member)
+                parts.append((batch.column(1).take(pa.array(rows)), None, place[rows], place[rows], mark[rows]))
             for doc, source, p, q, m in parts:
                 if len(p):
                     none = pa.nulls(len(p), kind)
                     yield pa.RecordBatch.from_arrays(
                         [doc if doc is not None else none, source if source is not None else none, pa.array(p), pa.array(q),
-                         pa.array(m) if m is not None else pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.list_(kind)), pa.nulls(len(p), pa.list_(pa.int32()))],
+                         pa.array(m) if m is not None else pa.nulls(len(p), pa.int64())],
                         names=_LINKED,
                     )
-            if member.any():
-                rows = np.flatnonzero(member)
-                k, m = keys[rows], mark[rows]
-                begin = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])))
-                offsets = pa.array(np.append(begin, len(rows)).astype(np.int32))
-                none, zero = pa.nulls(len(begin), kind), pa.array(np.zeros(len(begin), np.int32))
-                docs = pa.ListArray.from_arrays(offsets, batch.column(1).take(pa.array(rows)))
-                places = pa.ListArray.from_arrays(offsets, pa.array(place[rows]))
-                yield pa.RecordBatch.from_arrays([none, none, zero, zero, pa.array(m[begin]), docs, places], names=_LINKED)
+
+    return work
+
+
+def _heavy_links(across: bool):
+    """Rows of heavy hashes by mark, salt and document, the first occurrence (no document) before the others -> links."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            told = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(told)
+            known = batch.column(1).take(pa.array(heads))
+            if first is not None:  # the hash of the batch before may go on
+                known = pa.concat_arrays([first[0], known])
+            which = np.searchsorted(heads, np.arange(len(told)), "right") - (first is None)
+            q = np.concatenate([[] if first is None else [first[1]], batch.column(3).to_numpy()[heads]]).astype(np.int32)
+            rows = np.flatnonzero(~told)
+            if len(rows):
+                docs, p = batch.column(0).take(pa.array(rows)), batch.column(2).to_numpy()[rows]
+                sources, places = known.take(pa.array(which[rows])), q[which[rows]]
+                ids, source_ids = docs.to_numpy(zero_copy_only=False), sources.to_numpy(zero_copy_only=False)
+                later = ids > source_ids
+                if not across:
+                    later |= (ids == source_ids) & (p > places)
+                link = np.flatnonzero(later)
+                yield pa.RecordBatch.from_arrays(
+                    [docs.take(pa.array(link)), sources.take(pa.array(link)), pa.array(p[link]), pa.array(places[link])], names=_LINKED[:4]
+                )
+            first = (known.slice(len(known) - 1), q[-1])
 
     return work
 
@@ -144,14 +169,13 @@ def link_to_firsts(
     marked = known.select("doc_id", "text").mapInArrow(_marked_rows(find, heavy), f"key long, doc_id {kind}, place int, mark long")
     linked = ws.save(
         marked.repartition("key").sortWithinPartitions("key", "doc_id", "place")
-        .mapInArrow(_first_occurrences(across), f"doc_id {kind}, source_id {kind}, place int, source_place int, mark long, docs array<{kind}>, places array<int>"),
+        .mapInArrow(_first_occurrences(across), f"doc_id {kind}, source_id {kind}, place int, source_place int, mark long"),
         "linked",
     )
     columns = ["doc_id", "source_id", "place", "source_place"]
-    # a heavy hash has many rows, so its first occurrence, dealt to all salts, adds no more rows than there are
-    firsts = linked.where("docs is null and doc_id is null").select("mark", "source_id", "source_place").dropDuplicates(["mark"])
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = linked.where("docs is not null").select("mark", "docs", "places", F.pmod(F.xxhash64("docs", "places"), F.lit(SALTS)).cast("int").alias("salt"))
-    each = members.join(firsts, ["mark", "salt"]).select("source_id", "source_place", F.explode(F.arrays_zip("docs", "places")).alias("m"))
-    heavy = each.select(F.col("m.docs").alias("doc_id"), "source_id", F.col("m.places").alias("place"), "source_place").where("doc_id > source_id" if across else "doc_id > source_id or doc_id = source_id and place > source_place")
+    salted = linked.where("mark is not null and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int"))
+    # a heavy hash has as many rows at least as salts, so the copies of its first occurrence stay fewer than its rows
+    told = linked.where("doc_id is null").dropDuplicates(["mark"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    laid = salted.unionByName(told).repartition("mark", "salt").sortWithinPartitions("mark", "salt", F.col("doc_id").asc_nulls_first())
+    heavy = laid.select(*columns).mapInArrow(_heavy_links(across), f"doc_id {kind}, source_id {kind}, place int, source_place int")
     return linked.where("mark is null").select(*columns).unionAll(heavy)
