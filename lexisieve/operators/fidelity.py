@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.mask import strip_front_matter
 from ..functions.text import let, unicode_words
 
+# One table of units serves twice: the pattern of a number and the one name of a unit.
 # ---- Fixed values: units and their names, number words, identifier shapes, cue words.
 UNIT_NAMES = {
     "ms": "ms",

@@ -83,11 +83,11 @@ KEY = "MUST|SHALL|SHOULD|REQUIRED|RECOMMENDED|MAY|OPTIONAL"
 MODAL_KEY, ADJECTIVE_KEY = "MUST|SHALL|SHOULD|MAY", "REQUIRED|RECOMMENDED|OPTIONAL"
 ANY_KEY = rf"(?U)\b(?:{KEY})\b"
 KEY_TESTS = [
-    ("K1", rf"(?U)\b({KEY})\s+(never|NEVER|rarely|seldom|no longer|not\b)", "negates other than by NOT"),
+    ("K1", rf"(?U)\b({KEY})\s+(never|NEVER|rarely|seldom|no longer|not\b)", "should be negated by NOT alone"),
     ("K1", rf"(?U)\b({MODAL_KEY})\s+(?!NOT\b)(\w+)\s+((?:no more than|no fewer than|no less than|not more than)\b)", "hides a prohibition"),
-    ("K1", r"(?U)\b(MUST|SHALL|SHOULD)\s+(avoid|avoids|refrain|refrains|abstain|abstains)\b", "says MUST NOT in other words"),
-    ("K1", rf"(?iU)\b(nobody|no one|no \w+|none|nothing|neither|never)\b[^.]{{0,24}}?\b({KEY})\b", "negates the subject"),
-    ("K1", r"(?U)\bMAY\s+NOT\b", "is ambiguous"),
+    ("K1", r"(?U)\b(MUST|SHALL|SHOULD)\s+(avoid|avoids|refrain|refrains|abstain|abstains)\b", "stands for a plain MUST NOT"),
+    ("K1", rf"(?iU)\b(nobody|no one|no \w+|none|nothing|neither|never)\b[^.]{{0,24}}?\b({KEY})\b", "has its negation in the subject"),
+    ("K1", r"(?U)\bMAY\s+NOT\b", "reads two ways"),
     ("K1", rf"(?U)\bNOT\s+({ADJECTIVE_KEY})\b", "negates an adjectival key word"),
     ("K2", rf"(?U)\b({MODAL_KEY})(?:\s+NOT)?\s+(?:be|been)\b", "names no actor"),
     ("K2", rf"(?U)\b(?:is|are|was|were|it is|It is)\s+({ADJECTIVE_KEY})\b", "names no actor"),

@@ -11,7 +11,7 @@ SNIPPETS = [
     "You should run the test. Please close the file, or you must wait.",
     "Run the job that was written by the team before the check is made.",
     "We have finished the work. The file would have been lost. They had been told.",
-    "The worker is processing the queue. The service is running.",
+    "The node is writing its backlog. The service is running.",
     "Perform the validation of the input. The creation of the file failed. A sequence of steps ran.",
     "We spin up a node and figure out the colour of its behaviour, e.g. by hand, i.e. slowly.",
     "VS Code shows the seamless and powerful view etc. to the user vs the log.",
