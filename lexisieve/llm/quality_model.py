@@ -11,8 +11,8 @@ partition; nothing is sampled and no text reaches the driver.
 
 The prior is estimated from positives and unlabelled scores, without negatives: no share of all
 documents above a threshold can be less than the prior times the share of positives above it, so
-the least ratio of the two bounds the prior (each share widened by its sampling error). To keep
-fitted rows out of it, positives are halved by a hash of the id: a model fitted on one half is
+the least ratio of the two, over thresholds that at least half of the positives pass (shares of fewer
+scatter), estimates the prior. To keep fitted rows out of it, positives are halved by a hash of the id: a model fitted on one half is
 counted on the other half and on the documents outside the first; both ways are averaged.
 
 The raw value g is turned into a probability by a logistic curve fitted on at most
@@ -45,8 +45,8 @@ CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 #: Scores are counted in bins for the prior: the squared loss draws them to -1 and 1.
 SCORE_BINS, SCORE_REACH = 3000, 3.0
-#: Chance allowed to each share's sampling error, and the least share of positives looked at.
-DOUBT, LEAST_SHARE = 0.05, 0.05
+#: The least share of positives above a threshold that is looked at.
+LEAST_SHARE = 0.5
 
 
 #: ASCII bytes stand for themselves; of others only the two halves of a character are told apart.
@@ -121,31 +121,31 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -40, 40)))
 
 
-def minimise_risk(prior: float, all_a: np.ndarray, all_m: np.ndarray, pos_a: np.ndarray, pos_m: np.ndarray, ridge: float = RIDGE, steps: int = 500) -> np.ndarray:
+def minimise_risk(prior: float, all_a: np.ndarray, all_m: np.ndarray, pos_a: np.ndarray, pos_m: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
     """Weights of the least non-negative risk, from mean second and first moments.
 
-    Where the estimated negative part is not below zero, the unbiased risk applies and its
-    minimum is a linear system. Else gradient steps follow: down the positive risk while the
-    negative part is at least zero, up the negative part while it is not.
+    max(0, n) is the most of t * n over t from 0 to 1, and for each t the risk is a convex quadratic
+    in the weights. Where the negative part is not below zero at t = 1, that is the minimum; else the
+    minimum lies where the negative part is zero, at a t found by halving.
     """
     eye = np.eye(len(all_m)) * ridge
     eye[0, 0] = ridge * 1e-3
-    w = np.linalg.solve(all_a + eye, 2 * prior * pos_m - all_m)
-    negative = lambda w: 0.25 * (1 + 2 * w @ all_m + w @ all_a @ w) - prior * 0.25 * (1 + 2 * w @ pos_m + w @ pos_a @ w)
+
+    def at(t: float) -> np.ndarray:
+        return np.linalg.solve(0.5 * (prior * (1 - t) * pos_a + t * all_a) + eye, 0.5 * (prior * (1 + t) * pos_m - t * all_m))
+
+    def negative(w: np.ndarray) -> float:
+        return 0.25 * (1 + 2 * w @ all_m + w @ all_a @ w) - prior * 0.25 * (1 + 2 * w @ pos_m + w @ pos_a @ w)
+
+    w = at(1.0)
     if negative(w) >= 0:
         return w
-    rate = 1.0 / (np.linalg.norm(all_a, 2) + np.linalg.norm(pos_a, 2) + ridge)
-    best, least = w, np.inf
-    w = np.zeros_like(w)
+    low, high = 0.0, 1.0
     for _ in range(steps):
-        down = 0.5 * prior * (pos_a @ w - pos_m)
-        up = 0.5 * (all_m + all_a @ w) - 0.5 * prior * (pos_m + pos_a @ w)
-        part = negative(w)
-        risk = prior * 0.25 * (1 - 2 * w @ pos_m + w @ pos_a @ w) + max(0.0, part) + 0.5 * w @ eye @ w
-        if risk < least:
-            best, least = w, risk
-        w = w - rate * ((down + up if part >= 0 else -up) + eye @ w)
-    return best
+        middle = (low + high) / 2
+        w = at(middle)
+        low, high = (middle, high) if negative(w) >= 0 else (low, middle)
+    return w
 
 
 _TRIANGLE = np.triu_indices(WIDTH)
@@ -207,9 +207,8 @@ def _mean(sums: tuple[float, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def bounded_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
     """The least ratio of the shares above a threshold, from two histograms of scores."""
     u, p = (np.cumsum(x[::-1]) / x.sum() for x in (unlabelled, positive))
-    off_u, off_p = (np.sqrt(np.log(2 / DOUBT) / 2 / x.sum()) for x in (unlabelled, positive))
-    seen = p > 2 * off_p + LEAST_SHARE
-    return float(((u[seen] + off_u) / (p[seen] - off_p)).min()) if seen.any() else 1.0
+    seen = p >= LEAST_SHARE
+    return float((u[seen] / p[seen]).min())
 
 
 def _estimated_prior(table: DataFrame, known: DataFrame, half: Column, sums: dict[str, tuple[float, np.ndarray]], every: tuple[np.ndarray, np.ndarray]) -> float:
