@@ -385,6 +385,64 @@ def test_edited_passages_are_found(spark):
     assert len(found) >= 57
 
 
+@pytest.mark.parametrize("length", [30, 60])
+def test_passages_whose_words_stand_first_in_several_documents(spark, length, monkeypatch):
+    """Each window that an earlier document holds is covered, though its parts are first found elsewhere."""
+    monkeypatch.setattr(substring_dedup, "MANY", 2)
+    rng = random.Random(length)
+
+    def apart():
+        return prose_of(rng, 30, 10**6)
+
+    parts = [prose_of(rng, length, 10**6) for _ in range(12)]
+    texts = [f"{apart()} {p} {apart()}" for p in parts]
+    texts += [" ".join(apart() + " " + parts[k] + " " + parts[k + 1] for k in range(0, 12, 2)) for _ in range(5)]
+    texts += [f"{apart()} {parts[3]} {parts[4]} {parts[5]} {apart()}" for _ in range(2)]
+    words = [t.split() for t in texts]
+    spans = [[] for _ in texts]
+    for r in substring_dedup.find_passages(spark, docs_of(spark, texts)).collect():
+        assert r["similarity"] >= 0.75 and r["source_id"] < r["doc_id"]
+        spans[r["doc_id"]].append((r["word_start"], r["word_end"]))
+    first, repeated = {}, 0
+    for i, w in enumerate(words):
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), i) < i:
+                repeated += 1
+                assert any(a <= j and j + 50 <= b for a, b in spans[i]), (i, j)
+    assert repeated > 100
+
+
+def test_edited_passages_whose_words_stand_first_in_several_documents(spark):
+    rng = random.Random(8)
+    passage = prose_of(rng, 80, 10**6).split()
+    texts = [prose_of(rng, 40, 10**6) + " " + " ".join(passage[k : k + 10]) + " " + prose_of(rng, 40, 10**6) for k in range(0, 80, 5)]
+    edited = list(passage)
+    for j in range(7, 80, 10):
+        edited[j] = f"e{j}"
+    texts += [prose_of(rng, 60, 10**6) + " " + " ".join(w) + " " + prose_of(rng, 60, 10**6) for w in (passage, edited)]
+    got = substring_dedup.find_passages(spark, docs_of(spark, texts)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(17, 16)}
+    assert got[0]["word_start"] <= 62 and got[0]["word_end"] >= 135
+
+
+def test_grown_ends_take_no_passage_away():
+    rng = np.random.default_rng(4)
+    mine = rng.integers(0, 2**32, 400, dtype=np.uint32)
+    theirs = mine.copy()
+    theirs[50 + np.flatnonzero(np.arange(350) % 8 >= 5)] = 0
+    whole, core, *_ = substring_dedup.align(mine, theirs, [(0, 50, 0)])
+    assert substring_dedup._share(whole) < 0.75 and core == (0, 50, 0, 50, 50)
+    assert substring_dedup._accepted(mine, theirs, [(0, 50, 0)], 50, 0.75) == [(0, 50, 0, 50, 50, 1.0)]
+
+
+def test_window_hashes():
+    words = np.random.default_rng(6).integers(0, 3, 300).astype(np.uint64)
+    for width in (1, 7, 64, 90, 400):
+        got = substring_dedup.window_hashes(words, width)
+        runs = [tuple(words[i : i + width].tolist()) for i in range(max(0, 301 - width))]
+        assert len(got) == len(runs) and len(set(zip(runs, got.tolist()))) == len(set(runs)) == len(set(got.tolist()))
+
+
 def test_a_chain_prefers_order_and_small_gaps():
     rows = np.array([[0, 20, 100], [22, 40, 122], [41, 60, 10], [60, 90, 160]])
     best = substring_dedup.chains(rows, least=10)[0]
