@@ -302,19 +302,20 @@ def fit_features(table: DataFrame, labels: DataFrame) -> QualityModel:
 
 
 def _rate(df: DataFrame, model: QualityModel, raw: bool, keep: list[str], of: str = "x") -> DataFrame:
-    """The kept columns and value: the model over a column of features, or of texts."""
+    """The kept columns and value: the model over a column of features, or of texts. A kept column of texts is sent once."""
     fields, from_text = [df.schema[c] for c in keep], df.schema[of].dataType.simpleString() == "string"
+    sent = keep if of in keep else [*keep, of]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = model.raw if raw else model.score
         for batch in batches:
-            source = batch.column(len(keep))
+            source = batch.column(sent.index(of))
             parts = [rate(features(t)) for t in slices(source)] if from_text else [rate(_matrix(source))]
             got = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got)], names=[*keep, "value"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", value double"
-    return df.select(*keep, F.col(of).alias("_of")).mapInArrow(work, schema)
+    return df.select(*sent).mapInArrow(work, schema)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -323,8 +324,10 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     plain = docs.toDF(*names)
-    plain = plain.withColumn("_text", F.col(names[at]).cast("string"))
-    rated = _rate(plain, model, raw=False, keep=names, of="_text")
+    of = names[at]
+    if plain.schema[of].dataType.simpleString() != "string":
+        plain, of = plain.withColumn("_text", F.col(of).cast("string")), "_text"
+    rated = _rate(plain, model, raw=False, keep=names, of=of)
     kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns) if c.lower() != out.lower()]
     return rated.select(*kept, F.col("value").alias(out))
 

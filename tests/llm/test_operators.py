@@ -522,6 +522,17 @@ def test_quality_model(spark):
     assert none.prior == 0.5 and np.isfinite(none.score(np.zeros((1, quality_model.WIDTH)))).all()
 
 
+def test_texts_are_sent_once_to_be_scored(spark, corpus):
+    docs = docs_of(spark, corpus)
+    model = quality_model.QualityModel(np.linspace(-1, 1, quality_model.WIDTH), 1.0, 0.0, 0.5)
+    scored = quality_model.score_quality(docs, model)
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    project = plan[plan.index("MapInArrow") :].split("Project [")[1].split("]")[0]
+    assert len(project.split(",")) == len(docs.columns)
+    plain = {r["doc_id"]: r["score"] for r in quality_model.score_quality(docs.select("doc_id", F.col("text").alias("other"), "text"), model).collect()}
+    assert len(plain) == len(corpus) and {r["doc_id"]: r["score"] for r in scored.collect()} == plain
+
+
 def test_the_prior_comes_from_positives_and_unlabelled(spark):
     rng = random.Random(10)
     junk = [rng.random() < 0.4 for _ in range(3000)]
