@@ -74,7 +74,8 @@ LIGHT_VERB = (
     r"\s+(?:a|an|the)?\s*\w+(?:tion|ment|ance|ence|sis|ing)\b"
 )
 NOMINAL_OF = r"(?iU)\b(\w{4,}(?:tion|ment|ance|ence))\s+of\b"
-NOUN_RUN = r"(?U)\b(?:the|a|an)\s+((?:[a-z][a-z\-]*\s+){2,}[a-z][a-z\-]*)\b"
+# A word is taken only where one more can follow: nothing is given back, so the loop needs no stack.
+NOUN_RUN = r"(?U)\b(?:the|a|an)\s+((?:[a-z][a-z\-]*+\s++(?=[a-z][a-z\-]*\b)){2,}+[a-z][a-z\-]*)\b"
 INTERIOR_PLURAL = r"^[a-z][a-z\-]*(?<![su])s$"
 SHOULD = r"(?<![A-Za-z])should(?:n['’]t)?(?![A-Za-z])"
 IDENTIFIER = r"(?U)\b(?:[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+|[a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"

@@ -107,3 +107,15 @@ def test_sentences(spark):
         ("One line wraps here.", False, 0), ("Then:", False, 21), ("more!", False, 27), ("item one.", True, 36), ("And two.", True, 46),
         ("Last", False, text.index("Last")),
     ]
+
+
+def test_noun_run_of_many_words(spark):
+    """No stack overflow on a run of thousands of words; where no word can end a run, it ends before."""
+    texts = [
+        "Check the " + "queue priority handler " * 7000 + "value.", "Check the big queue handler value Now.", "Check the big queue handler value2 now.",
+        "Check the big queue handler va-lue2 now.", "Check the big queue2 handler value now.",
+    ]
+    found = findings(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), rules=["N5"])
+    got = {r["doc_id"]: r["message"].split("'")[1].split(" ") for r in found.collect()}
+    assert len(got.pop(0)) == 21001
+    assert got == {1: ["big", "queue", "handler", "value"], 3: ["big", "queue", "handler", "va-"]}
