@@ -78,7 +78,7 @@ NOMINAL_OF = r"(?iU)\b(\w{4,}(?:tion|ment|ance|ence))\s+of\b"
 NOUN_RUN = r"(?U)\b(?:the|a|an)\s+((?:[a-z][a-z\-]*+\s++(?=[a-z][a-z\-]*\b)){2,}+[a-z][a-z\-]*)\b"
 INTERIOR_PLURAL = r"^[a-z][a-z\-]*(?<![su])s$"
 SHOULD = r"(?<![A-Za-z])should(?:n['’]t)?(?![A-Za-z])"
-IDENTIFIER = r"(?U)\b(?:[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+|[a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
+IDENTIFIER = r"(?U)\b(?:[a-z][a-z0-9]*+(?:[A-Z][a-z0-9]*+)++|[a-z][a-z0-9]*+(?:_[a-z0-9]++)++)\b"
 GENDERED = r"(?i)(?<![A-Za-z])(he|him|his|she|her|hers)(?![A-Za-z])"
 KEY = "MUST|SHALL|SHOULD|REQUIRED|RECOMMENDED|MAY|OPTIONAL"
 MODAL_KEY, ADJECTIVE_KEY = "MUST|SHALL|SHOULD|MAY", "REQUIRED|RECOMMENDED|OPTIONAL"

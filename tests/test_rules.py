@@ -119,3 +119,10 @@ def test_noun_run_of_many_words(spark):
     got = {r["doc_id"]: r["message"].split("'")[1].split(" ") for r in found.collect()}
     assert len(got.pop(0)) == 21001
     assert got == {1: ["big", "queue", "handler", "value"], 3: ["big", "queue", "handler", "va-"]}
+
+
+def test_long_identifiers(spark):
+    """No stack overflow on an identifier of thousands of parts."""
+    texts = ["The value is a" + "Bc" * 9000 + "ing.", "The value is a" + "_bc" * 9000 + "ing.", "The aBcing_ value aBced1 is a_b_ced."]
+    found = findings(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), rules=["S4"])
+    assert [(r["doc_id"], r["rule"], r["column"]) for r in found.orderBy("doc_id").collect()] == [(0, "S4", 14), (1, "S4", 14), (2, "S4", 29)]
