@@ -68,6 +68,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("int")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded half away from zero after scaling, as DuckDB does: 1.025 * 100 is below 102.5.
+
+    F.round looks at the decimal notation instead and gives 1.03 there.
+    """
+    return F.round(value * float(10 ** digits)) / float(10 ** digits)
+
+
 def space_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mask import prose, without_markers
 from ..functions.segment import sentences
-from ..functions.text import PLAIN_WORD, syllables
+from ..functions.text import PLAIN_WORD, rounded, syllables
 
 SUPPORTED, INDEPENDENT = 95.0, 98.0
 # Regular endings, what to put back, and whether an e may be missing.
@@ -62,7 +62,7 @@ def coverage(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
         unknown.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top)
         .groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word", "n"))), lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n"))).alias("unknown"))
     )
-    share = F.round(F.col("covered") * 100.0 / F.col("words"), 2)
+    share = rounded(F.col("covered") * 100.0 / F.col("words"), 2)
     out = docs.select(id_col).join(totals, id_col, "left").join(tops, id_col, "left")
     return out.select(
         id_col, F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("covered", F.lit(0)).alias("covered"),

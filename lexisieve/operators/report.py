@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import html_escape
+from ..functions.text import html_escape, rounded
 
 
 def by_rule(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -64,7 +64,7 @@ def clean_sentence_rate(dirty: DataFrame, sentence_rows: DataFrame, id_col: str
     n = sentence_rows.groupBy(id_col).agg(F.count("*").alias("sentences"))
     bad = dirty.groupBy(id_col).agg(F.countDistinct("sentence_no").alias("dirty"))
     d = F.coalesce("dirty", F.lit(0))
-    return n.join(bad, id_col, "left").select(id_col, "sentences", d.alias("dirty"), F.round(1 - d / F.col("sentences"), 4).alias("clean"))
+    return n.join(bad, id_col, "left").select(id_col, "sentences", d.alias("dirty"), rounded(1 - d / F.col("sentences"), 4).alias("clean"))
 
 
 def overview(cells: DataFrame, measures: list[str], first: str, second: str) -> DataFrame:

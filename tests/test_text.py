@@ -141,3 +141,13 @@ def test_report_pieces(spark):
     spans = spark.createDataFrame([("a < b c", [(0, 1, "X1"), (0, 3, "N3"), (4, 5, "V3")])], "t string, s array<struct<at:int,till:int,rule:string>>")
     html = spans.select(report.mark_findings(F.col("t"), F.col("s"))).first()[0]
     assert html == '<mark title="X1">a</mark> &lt; <mark title="V3">b</mark> c'
+
+
+def test_shares_round_as_in_sql(spark):
+    """41 of 4,000 words are 1.025 %, which scaled is below 102.5: DuckDB says 1.02."""
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "the " * 41 + "xyzzyq " * 3959)], "doc_id int, text string")
+    got = readability.coverage(docs, spark.createDataFrame([("the",)], "known string")).first()
+    assert (got["words"], got["covered"]) == (4000, 41)
+    assert got["coverage"] == duckdb.connect().execute("SELECT round(41 * 100.0::DOUBLE / 4000, 2)").fetchone()[0] == 1.02
