@@ -50,8 +50,12 @@ CUES = {
 
 _UNITS = sorted({u for names in UNIT_NAMES.values() for u in names.split()} | set(OTHER_UNITS), key=lambda u: (-len(u), u))
 _UNIT = "|".join(_UNITS)
-NUMBER = rf"(?iU)(?<![\w.])(\d+(?:[.,]\d+)*)\s*({_UNIT})?(?![\w])"
-NUMBER_WORD = rf"(?iU)\b({'|'.join(NUMBER_WORDS)})\s*({_UNIT})?(?![\w])"
+# A lookahead for the first letter or digit comes before the slower boundary.
+NUMBER = rf"(?iU)(?=\d)(?<![\w.])(\d+(?:[.,]\d+)*)\s*({_UNIT})?(?![\w])"
+NUMBER_WORD = rf"(?iU)(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])\b({'|'.join(NUMBER_WORDS)})\s*({_UNIT})?(?![\w])"
+# All words of all cues; where a cue has several words ("must not"), one of them is a cue by itself.
+CUE_WORDS = sorted({w for words in CUES.values() for w in words.split("|") if " " not in w})
+ANY_CUE = rf"(?iU)(?=[{''.join(sorted({w[0] for w in CUE_WORDS}))}])\b(?:{'|'.join(CUE_WORDS)})\b"
 PAIR = "array<struct<value:string,unit:string>>"
 
 
@@ -63,23 +67,27 @@ def canonical_unit(unit: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Numbers with canonical units, digits first, then the words one to ten: array of (value, unit)."""
-    def pairs(pattern: str, value) -> Column:
-        return F.zip_with(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)),
-            lambda v, u: F.struct(value(v).alias("value"), canonical_unit(u).alias("unit")),
+    """Numbers with canonical units, digits first, then the words one to ten: array of (value, unit).
+
+    The text is searched once for each pattern; value and unit are cut from the few matches.
+    """
+    def pairs(pattern: str, head: str, value) -> Column:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda m: F.struct(value(F.regexp_extract(m, head, 1)).alias("value"), canonical_unit(F.regexp_extract(m, head, 2)).alias("unit")),
         )
 
     word_values = F.array(*[F.lit(w) for w in NUMBER_WORDS])
     return F.concat(
-        pairs(NUMBER, lambda v: F.replace(v, F.lit(","), F.lit(""))).cast(PAIR),
-        pairs(NUMBER_WORD, lambda v: F.array_position(word_values, F.lower(v)).cast("string")).cast(PAIR),
+        pairs(NUMBER, r"(?sU)^([\d.,]+)\s*(.*)$", lambda v: F.replace(v, F.lit(","), F.lit(""))).cast(PAIR),
+        pairs(NUMBER_WORD, rf"(?siU)^({'|'.join(NUMBER_WORDS)})\s*(.*)$", lambda v: F.array_position(word_values, F.lower(v)).cast("string")).cast(PAIR),
     )
 
 
 def identifiers(text: Column) -> Column:
     """Distinct identifiers: code spans of three kinds, flags, file names, upper-case names."""
     spans = F.concat(*[F.regexp_extract_all(text, F.lit(SPAN_IDENTIFIER), F.lit(g)) for g in (1, 2, 3)])
+    spans = F.when(F.contains(text, F.lit("`")), spans).otherwise(F.array().cast("array<string>"))
     bare = F.regexp_extract_all(text, F.lit(BARE_IDENTIFIER), F.lit(1))
     trimmed = F.transform(F.concat(spans, bare), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x != "")))
@@ -93,6 +101,17 @@ def cue_count(text: Column, cue: str) -> Column:
     return F.regexp_count(text, F.lit(rf"(?iU)\b(?:{CUES[cue]})\b")).cast("int")
 
 
+def cue_hits(text: Column) -> Column:
+    """The cue words of a text in lower case, found in one search for all cues."""
+    # the search takes four more letters for i, s and k in any case
+    return F.transform(F.regexp_extract_all(text, F.lit(ANY_CUE), F.lit(0)), lambda w: F.lower(F.translate(w, "\u0130\u0131\u017f\u212a", "iisk")))
+
+
+def hits_of(cue: str, hits: Column) -> Column:
+    """As cue_count, from the cue words of the text."""
+    return F.size(F.filter(hits, lambda w: w.isin(*[c for c in CUES[cue].split("|") if " " not in c])))
+
+
 def shown(value: Column, unit: Column) -> Column:
     plural = F.concat(value, F.lit(" "), unit, F.when(value.isin("1", "1.0"), F.lit("")).otherwise(F.lit("s")))
     return F.when(unit == "", value).when(unit.isin("percent", "ms", "kb", "mb", "gb", "times"), F.concat(value, F.lit(" "), unit)).otherwise(plural)
@@ -138,9 +157,11 @@ def compare(pairs: DataFrame, id_col: str = "pair_id", source_col: str = "source
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])]
     names = [f"_k{i}" for i in range(len(kept))]
     base = pairs.select(id_col, *kept, strip_front_matter(F.col(source_col)).alias("_s"), strip_front_matter(F.col(rewrite_col)).alias("_r"))
-    counted = base.select(
-        id_col, *names, "_s", "_r", *[cue_count(s, c).alias(f"s_{c}") for c in CUES], *[cue_count(r, c).alias(f"r_{c}") for c in CUES],
-        lost_numbers(s, r).alias("_n"), lost_identifiers(s, r).alias("_i"),
+    searched = base.select(
+        id_col, *names, "_s", "_r", cue_hits(s).alias("_cs"), cue_hits(r).alias("_cr"), lost_numbers(s, r).alias("_n"), lost_identifiers(s, r).alias("_i")
+    )
+    counted = searched.select(
+        id_col, *names, "_s", "_r", *[hits_of(c, F.col("_cs")).alias(f"s_{c}") for c in CUES], *[hits_of(c, F.col("_cr")).alias(f"r_{c}") for c in CUES], "_n", "_i"
     )
 
     def fell(c: str) -> Column:

@@ -151,3 +151,21 @@ def test_shares_round_as_in_sql(spark):
     got = readability.coverage(docs, spark.createDataFrame([("the",)], "known string")).first()
     assert (got["words"], got["covered"]) == (4000, 41)
     assert got["coverage"] == duckdb.connect().execute("SELECT round(41 * 100.0::DOUBLE / 4000, 2)").fetchone()[0] == 1.02
+
+
+def test_cues_and_numbers_in_one_search(spark):
+    """Cue words from one search count as each cue's own pattern does; the plan searches a text once for all cues."""
+    texts = [
+        "It must not stop, DO NOT go; it never may, if ıf İF unſure ſome muſt. No, none! notable no_one all-or-any",
+        "You cannot and will  not, does not. Always use every one wholeé once un less unless, " * 3, "",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", fidelity.cue_hits(F.col("t")))
+    for c in fidelity.CUES:
+        for row in df.select(fidelity.cue_count(F.col("t"), c).alias("a"), fidelity.hits_of(c, F.col("h")).alias("b")).collect():
+            assert row.a == row.b, c
+    text = "1,200.5 rows, 3 sec. v1.2 4.5.6x 7% 8a TEN ms, fives, two\nhours ٥ minutes, sixty"
+    got = spark.createDataFrame([(text,)], "t string").select(fidelity.numbers(F.col("t")).alias("n")).first().n
+    assert [tuple(x) for x in got] == [("1200.5", "row"), ("3", "second"), ("4.5.6", "times"), ("7", "percent"), ("٥", "minute"), ("10", "ms"), ("5", "second"), ("2", "hour")]
+    pairs = spark.createDataFrame([(1, "a", "b")], "pair_id int, source string, rewrite string")
+    plan = fidelity.compare(pairs).drop("source_words", "rewrite_words")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:after|all|always") == 2
