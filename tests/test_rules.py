@@ -126,3 +126,15 @@ def test_long_identifiers(spark):
     texts = ["The value is a" + "Bc" * 9000 + "ing.", "The value is a" + "_bc" * 9000 + "ing.", "The aBcing_ value aBced1 is a_b_ced."]
     found = findings(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), rules=["S4"])
     assert [(r["doc_id"], r["rule"], r["column"]) for r in found.orderBy("doc_id").collect()] == [(0, "S4", 14), (1, "S4", 14), (2, "S4", 29)]
+
+
+def test_clean_sentence_rate_judges_once(spark, tmp_path):
+    """The query shuffles nothing and cuts a text once; a text that is null has no row."""
+    from lexisieve.plans.rule_queries import clean_sentences
+
+    docs = [(0, "It doesn't work; it is late. It is fine.", "en", "a"), (24, "It is fine.", "en", "a"), (1, None, "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = clean_sentences(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(0, 3, 2, 0.3333), (24, 3, 0, 1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("(?<=[.!?:])") == 2
